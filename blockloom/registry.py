@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from blockloom import pipelines
+
 FLAGSHIP = "multi_request_budget"
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**pipelines.QUERIES}
+SQL: dict[str, str] = {**pipelines.SQL}
