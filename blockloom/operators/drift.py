@@ -25,7 +25,6 @@ import re
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -212,17 +211,22 @@ def changes(values: DataFrame) -> DataFrame:
     given = schema.select("feed", "file_no", F.when(~F.col("came"), F.col("name")).alias("old_name"), F.when(~F.col("gone"), F.col("name")).alias("new_name"), kind("old_kinds").alias("old_kind"), kind("kinds").alias("new_kind"), F.lit(-1).cast("long").alias("agree"), F.lit(-1).cast("long").alias("differ"))
     given = given.unionByName(evidence.select("feed", "file_no", "old_name", "new_name", blank.alias("old_kind"), blank.alias("new_kind"), "agree", "differ"))
 
-    def match(group: pd.DataFrame) -> pd.DataFrame:
-        names, facts = group[group.agree < 0], group[group.agree >= 0]
-        old = {n: k for n, k in zip(names.old_name, names.old_kind) if isinstance(n, str)}
-        new = {n: k for n, k in zip(names.new_name, names.new_kind) if isinstance(n, str)}
-        agree = {(a, b): int(n) for a, b, n in zip(facts.old_name, facts.new_name, facts.agree)}
-        differ = {(a, b): int(n) for a, b, n in zip(facts.old_name, facts.new_name, facts.differ)}
+    def match(group: pa.Table) -> pa.Table:
+        rows = group.to_pydict()
+        facts = [n >= 0 for n in rows["agree"]]
+        pick = lambda name, kind: {n: k for n, k, fact in zip(rows[name], rows[kind], facts) if n is not None and not fact}
+        count = lambda of: {(a, b): n for a, b, n, fact in zip(rows["old_name"], rows["new_name"], rows[of], facts) if fact}
         order = lambda d: {k: d[k] for k in sorted(d)}
-        chosen = correspondences(order(old), order(new), agree, differ)
-        return pd.DataFrame({"feed": group.feed.iloc[0], "file_no": group.file_no.iloc[0], "old_name": [a for a, _ in chosen], "new_name": [b for _, b in chosen]})
-
-    renamed = given.groupBy("feed", "file_no").applyInPandas(match, "feed string, file_no int, old_name string, new_name string")
+        chosen = correspondences(order(pick("old_name", "old_kind")), order(pick("new_name", "new_kind")), count("agree"), count("differ"))
+        columns = {
+            "feed": pa.array(rows["feed"][:1] * len(chosen), pa.string()),
+            "file_no": pa.array(rows["file_no"][:1] * len(chosen), pa.int32()),
+            "old_name": pa.array([a for a, _ in chosen], pa.string()),
+            "new_name": pa.array([b for _, b in chosen], pa.string()),
+        }
+        return pa.table(columns)
+
+    renamed = given.groupBy("feed", "file_no").applyInArrow(match, "feed string, file_no int, old_name string, new_name string")
     renamed = renamed.select("feed", "file_no", F.lit("renamed").alias("change"), "old_name", "new_name")
     # One row per name that is gone or new, so that renamed ones leave together with their partner.
     one_sided = both.where("gone or came").select("feed", "file_no", F.when(F.col("gone"), "removed").otherwise("added").alias("change"), "name")
