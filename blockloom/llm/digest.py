@@ -26,6 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from blockloom.session import materialize
+
 DEPTH = 32
 SUBTREE = 14
 ERROR = 0.01
@@ -209,8 +211,8 @@ def _compressed(nodes: DataFrame, names: list[str], k: int, top: int) -> DataFra
 def merge(parts: DataFrame, keys: Sequence[str], error: float = ERROR) -> DataFrame:
     """Digests of the groups of ``keys`` from any union of partial digests: keys, field, node, n."""
     names, k = [*keys, "field"], int(np.ceil(DEPTH / error))
-    nodes = parts.groupBy(*names, "node").agg(F.sum("n").alias("n"))
-    totals = parts.groupBy(*names).agg(F.sum("n").alias("total"))
+    nodes, _ = materialize(parts.groupBy(*names, "node").agg(F.sum("n").alias("n")))  # read twice; map tasks with Python aren't reused
+    totals = nodes.groupBy(*names).agg(F.sum("n").alias("total"))
 
     def with_total(df: DataFrame) -> DataFrame:
         renamed = totals.select(*[F.col(c).alias(f"_{c}") for c in names], "total")
