@@ -166,10 +166,10 @@ def _extended(seeded: DataFrame, length: int, window: int) -> DataFrame:
 
 def shared_spans(texts: DataFrame, length: int = LENGTH, window: int = WINDOW) -> DataFrame:
     """Every start of a span of ``length`` that a text shares with another: rep, start, h1, h2, is_first, n_texts, texts_key."""
-    anchors = _anchors(texts, length, window)
+    anchors, _ = materialize(_anchors(texts, length, window))
     shared = anchors.groupBy("anchor").agg(F.min("rep").alias("_lo"), F.max("rep").alias("_hi")).where("_lo < _hi").select("anchor")
     seeds = anchors.join(shared, "anchor").groupBy("rep").agg(F.collect_set("at").alias("seeds"))
-    spans = _extended(texts.join(seeds, "rep"), length, window)
+    spans, _ = materialize(_extended(texts.join(seeds, "rep"), length, window))
     own = F.when(F.col("is_first"), F.xxhash64("rep"))
     groups = spans.groupBy("h1", "h2").agg(F.sum(F.col("is_first").cast("int")).cast("int").alias("n_texts"), F.bit_xor(own).alias("texts_key")).where("n_texts > 1")
     return spans.join(groups, ["h1", "h2"])
