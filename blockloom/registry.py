@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from blockloom import pipelines
+from blockloom import blockqueries, pipelines
 
 FLAGSHIP = "multi_request_budget"
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**pipelines.QUERIES}
-SQL: dict[str, str] = {**pipelines.SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**blockqueries.QUERIES, **pipelines.QUERIES}
+SQL: dict[str, str] = {**blockqueries.SQL, **pipelines.SQL}
