@@ -1,6 +1,6 @@
 """Plans to DataFrames: selection by existence, weights, the output budget, nested JSON per block.
 
-Everything stays lazy but the check of the parent hash. The block range goes into every scan: all keys begin with the
+Everything stays lazy but the check of the parent hash and, before output, the budget: three numbers. The block range goes into every scan: all keys begin with the
 block number, so related rows lie in the same block. Weights are summed per block before anything else; the running
 total has two levels (blocks within ranges, and ranges), so no task sorts all blocks.
 """
@@ -10,7 +10,7 @@ from __future__ import annotations
 import functools
 import operator
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -44,6 +44,8 @@ class Execution:
     tables: Tables
     budget: int = BUDGET
     _chosen: dict[str, DataFrame | None] = field(default_factory=dict)
+    _bounds: tuple[int, int, int] | None = None
+    _within: Execution | None = None
 
     def table(self, name: str) -> DataFrame:
         """The table within the block range, block numbers as longs, undeclared names as they are stored."""
@@ -154,6 +156,24 @@ class Execution:
         r = self.running()
         return r.agg(F.coalesce(F.max(F.when(F.col("running") <= self.budget, F.col("number"))), F.min("number")).alias("last_block"))
 
+    def bounds(self) -> tuple[int, int, int] | None:
+        """(first block, last block, last block within the budget) of what may be emitted: the one action before
+        output, three numbers. None where the range has no block."""
+        if self._bounds is None:
+            r = self.running()
+            row = r.agg(F.min("number").alias("first"), F.max("number").alias("end"), F.max(F.when(F.col("running") <= self.budget, F.col("number"))).alias("fit")).first()
+            if row["first"] is None:
+                return None
+            self._bounds = (row["first"], row["end"], row["first"] if row["fit"] is None else row["fit"])
+        return self._bounds
+
+    def within(self) -> Execution:
+        """The same plan up to the last block within the budget; as a literal, that bound reaches every scan."""
+        if self._within is None:
+            bounds = self.bounds()
+            self._within = Execution(replace(self.plan, last_block=-1 if bounds is None else bounds[2]), self.tables, self.budget)
+        return self._within
+
     def check_parent(self) -> None:
         """The block below the range must have the asserted hash, as the first header of the range tells it."""
         if self.plan.parent_hash is None:
@@ -188,17 +208,17 @@ class Execution:
 
     def items(self, name: str) -> DataFrame:
         """All columns of an item table's rows that lie within the budget."""
-        df = self.selected(name)
-        block = self.plan.catalog[name].block
-        return df.join(F.broadcast(self.kept()), F.col(block) <= F.col("last_block")).drop("last_block")
+        return self.within().selected(name)
 
     def headers(self) -> DataFrame:
-        header = self.plan.catalog.header
-        df = self.table(header.name)
-        if self.plan.all_blocks:
-            return df.join(F.broadcast(self.kept()), F.col(header.block) <= F.col("last_block")).drop("last_block")
-        cut = self.running().join(F.broadcast(self.kept()), F.col("number") <= F.col("last_block")).select(F.col("number").alias("_kept"))
-        return df.join(cut, df[header.block] == cut["_kept"], "left_semi")
+        """Headers of blocks with items, and of the range's first and last block; of all blocks where those are asked for."""
+        header, inner = self.plan.catalog.header, self.within()
+        df = inner.table(header.name)
+        if self.plan.all_blocks or self.bounds() is None:
+            return df
+        numbers = [rel.keys_of(inner.selected(t.name), [t.block], [header.block]) for t in inner.item_tables()]
+        first, end, _ = self.bounds()
+        return rel.select_rows(df, F.col(header.block).isin(first, end), [([header.block], n) for n in numbers])
 
     def blocks(self) -> DataFrame:
         """number, json: one nested record per block, in block order; collections without items are left out."""

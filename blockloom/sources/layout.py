@@ -10,11 +10,13 @@ import re
 from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from blockloom.errors import TableMissing
 from blockloom.plans.execute import Tables
+from blockloom.session import materialize
 from blockloom.sources.files import Files
 
 _NAME = re.compile(r"^(\d{10,})-(\d{10,})-([0-9A-Za-z]{1,8})$")
@@ -99,20 +101,17 @@ def write_table(df: DataFrame, path: str, sort_key: list[str], index: bool = Fal
         order = [F.col(c).asc_nulls_last() for c in sort_key]
         df = df.repartitionByRange(*([partitions] if partitions else []), *order).sortWithinPartitions(*order)
         if index:
-            df = _positions(df)
+            df = _positions(df, order)
     df.write.option("compression", "zstd").parquet(path)
 
 
-def _positions(df: DataFrame) -> DataFrame:
-    """``_idx``: position in partition order; one small count per partition is shifted, no global sort on one task."""
-    placed = df.select("*", F.spark_partition_id().alias("_p"), F.monotonically_increasing_id().alias("_m"))
-    counts = placed.groupBy("_p").agg(F.count(F.lit(1)).alias("_n")).orderBy("_p").collect()
-    before, shifts = 0, {}
-    for r in counts:
-        shifts[r["_p"]] = before
-        before += r["_n"]
-    if not shifts:
-        return df.withColumn("_idx", F.lit(0))
-    shift = F.create_map(*[x for p, s in shifts.items() for x in (F.lit(p), F.lit(s))])
-    offset = F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))
-    return placed.select(*df.columns, (shift[F.col("_p")] + offset).cast("int").alias("_idx"))
+def _positions(df: DataFrame, order: list[Column]) -> DataFrame:
+    """``_idx``: the position in the order. Ranges are written with their number once, as another run might cut them
+    differently; then rows are numbered within ranges and shifted by the sizes of the ranges before."""
+    placed, _ = materialize(df.withColumn("_p", F.spark_partition_id()))
+    sizes = placed.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # one row per range
+    shifts = sizes.select("_p", before.alias("_before"))
+    within = F.row_number().over(W.partitionBy("_p").orderBy(*order))
+    numbered = placed.withColumn("_within", within).join(F.broadcast(shifts), "_p")
+    return numbered.select(*df.columns, (F.col("_before") + F.col("_within") - 1).cast("int").alias("_idx"))

@@ -354,9 +354,10 @@ class Store:
                 return
             if not check:
                 execution.plan = replace(execution.plan, parent_hash=None)
-            last = execution.kept().first()["last_block"]
-            if last is None:
+            bounds = execution.bounds()
+            if bounds is None:
                 return
+            last = bounds[2]
             yield from execution.json_lines()
             body, check = {**body, "fromBlock": last + 1}, False
             if execution.plan.last_block is not None and last >= execution.plan.last_block:

@@ -107,7 +107,7 @@ def test_compaction_keeps_the_data(spark, store):
 
 
 def test_compaction_plans():
-    chunk = lambda i, rows, kind="int": st.StoredChunk(i, i, f"h{i}", f"h{i - 1}", {"t": ""}, rows, {"t": T.StructType([T.StructField("x", T._parse_datatype_string(kind))]).json()})
+    chunk = lambda i, rows, kind="int": st.StoredChunk(i, i, f"h{i}", f"h{i - 1}", {"t": ""}, rows, {"t": T.StructType([T.StructField("x", {"int": T.IntegerType(), "bigint": T.LongType(), "string": T.StringType()}[kind])]).json()})
     plan = lambda *c, **kw: st.compaction(st.Manifest("k", 0, c), **kw)
     assert plan() is None and plan(chunk(1, 5)) is None
     assert plan(chunk(1, 5), chunk(2, 5), chunk(3, 5)) == (0, 3)
