@@ -67,6 +67,44 @@ def p7_day_percentiles(spark: SparkSession, root: str) -> DataFrame:
     return digest.percentiles(days, ["coin", "day"], SHARES)
 
 
+_SETS = (("day",), ("coin",), ("day", "coin"), ())
+
+
+def p3_error_check(spark: SparkSession, root: str) -> DataFrame:
+    """Exact counts beside the estimates: whether each lies within five standard errors."""
+    fills, _ = _users(spark, root)
+    estimates = p3_distinct_users(spark, root)
+    # One exact count per grouping; the distinct pairs combine before each shuffle.
+    pairs = fills.select("day", "coin", "user").distinct()
+    exact = None
+    for keys in _SETS:
+        part = pairs.select(*keys, "user").distinct().groupBy(*keys).agg(F.count("user").alias("exact_users"))
+        part = part.select(F.lit(",".join(keys)).alias("grouping"), *[(F.col(k) if k in keys else F.lit(None).cast(fills.schema[k].dataType)).alias(k) for k in ("day", "coin")], "exact_users")
+        exact = part if exact is None else exact.unionByName(part)
+    on = [estimates[c].eqNullSafe(exact[c]) for c in ("grouping", "day", "coin")]
+    within = F.abs(F.col("users") - F.col("exact_users")) <= 5 * F.col("standard_error") * F.col("exact_users") + 1
+    return exact.join(estimates, on).select(exact["grouping"], exact["day"].cast("string").alias("day"), exact["coin"], "exact_users", within.alias("within"))
+
+
+def p7_rank_check(spark: SparkSession, root: str) -> DataFrame:
+    """Whether every percentile's rank is within its bound, by counting the values below and up to it."""
+    fills = load(spark, root, "fills")
+    found = p7_percentiles(spark, root)
+    shares = F.explode(F.array(*[F.struct(F.lit(q).alias("q"), F.col(f"p{100 * q:g}").alias("v")) for q in SHARES]))
+    asked = found.select(F.col("coin").alias("_coin"), F.col("field").alias("_field"), "n", shares.alias("x")).select("_coin", "_field", "n", "x.q", "x.v")
+    asked = asked.groupBy("_coin", "_field", "n").agg(F.sort_array(F.collect_list(F.struct("q", "v"))).alias("asked"))
+    values = fills.select("coin", F.explode(F.create_map(*[x for f in ("px", "sz", "fee") for x in (F.lit(f), F.col(f))])).alias("field", "value")).where(F.col("value").isNotNull() & ~F.isnan("value"))
+    near = 2.0**-19
+    joined = values.join(asked, values["coin"].eqNullSafe(asked["_coin"]) & (F.col("field") == F.col("_field")))
+    counts = [x for i in range(len(SHARES)) for x in (F.count_if(F.col("value") < F.col("asked")[i]["v"] - F.abs(F.col("asked")[i]["v"]) * near).alias(f"low{i}"), F.count_if(F.col("value") <= F.col("asked")[i]["v"] + F.abs(F.col("asked")[i]["v"]) * near).alias(f"high{i}"))]
+    ranked = joined.groupBy("coin", "field", "n").agg(*counts)
+    slack = F.col("n") * digest.ERROR + 1
+    good = F.lit(True)
+    for i, q in enumerate(SHARES):
+        good = good & (F.col(f"low{i}") - slack <= F.col("n") * q) & (F.col(f"high{i}") + slack >= F.col("n") * q)
+    return ranked.select("coin", "field", "n", good.alias("within"))
+
+
 def p8_ids(spark: SparkSession, root: str) -> DataFrame:
     """doc_id and ids of every document."""
     return tokens.encode_documents(load(spark, root, "documents"), "doc_id", "text")
@@ -94,14 +132,26 @@ def p10_coverage(spark: SparkSession, root: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p1_found, p1_top_values, p3_distinct_users, p3_partials, p7_percentiles, p7_day_percentiles, p8_ids, p8_round_trip, p9_containers, p10_found, p10_coverage)
+    for f in (p1_found, p1_top_values, p3_distinct_users, p3_partials, p3_error_check, p7_percentiles, p7_day_percentiles, p7_rank_check, p8_ids, p8_round_trip, p9_containers, p10_found, p10_coverage)
 }
 
 _VALUES = " UNION ALL ".join(f"SELECT '{field}' AS field, lower(trim(\"{field}\", ' ')) AS value FROM {table}" for field, table in _COLUMNS.items())
 _COUNTS = f"WITH v AS ({_VALUES}), c AS (SELECT field, value, count(*) AS n FROM v WHERE value IS NOT NULL AND value NOT IN ('', '0x') GROUP BY 1, 2)"
 
+_USERS = """WITH w AS (SELECT CAST(CAST("time" AS DATE) AS VARCHAR) AS day, coin, CASE WHEN lower(trim("user", ' ')) IN ('', '0x') THEN NULL ELSE lower(trim("user", ' ')) END AS u FROM fills)"""
+#: All spans of 200 characters of all documents.
+_SPANS = """WITH g AS (SELECT doc_id, text, unnest(range(1, length(text) - 198)) AS i FROM documents WHERE length(text) >= 200), k AS (SELECT doc_id, i, md5(substr(text, i, 200)) AS h FROM g)"""
+
 SQL: dict[str, str] = {
+    "p10_found": f"{_SPANS}, u AS (SELECT DISTINCT doc_id, h FROM k) SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM u a JOIN u b ON a.h = b.h AND a.doc_id < b.doc_id",
+    "p10_coverage": f"""{_SPANS}, s AS (SELECT h FROM k GROUP BY h HAVING min(doc_id) < max(doc_id)), c AS (SELECT doc_id, i, i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS step FROM k WHERE h IN (SELECT h FROM s)),
+        n AS (SELECT doc_id, i, sum(CASE WHEN step <= 200 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS no FROM c), m AS (SELECT doc_id, max(i) - min(i) + 200 AS size FROM n GROUP BY doc_id, no),
+        t AS (SELECT doc_id, sum(size) AS shared_chars, count(*) AS n_spans, max(size) AS longest FROM m GROUP BY doc_id)
+        SELECT d.doc_id, coalesce(length(d.text), 0) AS n_chars, CAST(coalesce(shared_chars, 0) AS BIGINT) AS shared_chars, coalesce(n_spans, 0) AS n_spans, coalesce(longest, 0) AS longest FROM documents d LEFT JOIN t ON t.doc_id = d.doc_id""",
     "p1_found": f"{_COUNTS} SELECT field, value FROM (SELECT *, sum(n) OVER (PARTITION BY field) AS total FROM c) WHERE n >= 0.005 * total",
     "p1_top_values": f"{_COUNTS} SELECT field, value, n FROM (SELECT *, row_number() OVER (PARTITION BY field ORDER BY n DESC, value) AS r FROM c) WHERE r <= 100",
+    "p3_error_check": f"""{_USERS} SELECT 'day' AS "grouping", day, NULL AS coin, count(DISTINCT u) AS exact_users, true AS within FROM w GROUP BY day UNION ALL SELECT 'coin', NULL, coin, count(DISTINCT u), true FROM w GROUP BY coin
+        UNION ALL SELECT 'day,coin', day, coin, count(DISTINCT u), true FROM w GROUP BY day, coin UNION ALL SELECT '', NULL, NULL, count(DISTINCT u), true FROM w""",
+    "p7_rank_check": " UNION ALL ".join(f"SELECT coin, '{f}' AS field, count(*) AS n, true AS within FROM fills WHERE {f} IS NOT NULL AND NOT isnan({f}) GROUP BY coin" for f in ("px", "sz", "fee")),
     "p8_round_trip": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
 }
