@@ -19,7 +19,6 @@ from blockloom.functions.bloom import bloom_bits, contains_bits
 
 #: Inclusive bounds of the integer types.
 BOUNDS = {T.ByteType: 7, T.ShortType: 15, T.IntegerType: 31, T.LongType: 63}
-INLINE = 1000
 
 
 class Predicate:
@@ -53,7 +52,7 @@ def _literal(value: object, kind: T.DataType) -> Column:
 
 @dataclass(frozen=True)
 class In(Predicate):
-    """The column is one of the values; one value is equality, long lists become a semi-join set."""
+    """The column is one of the values; one value is equality, and Spark turns long lists into a hash set."""
 
     column: str
     values: tuple

@@ -130,7 +130,28 @@ _WALK = """WITH RECURSIVE h AS (SELECT lower(trim(hash, ' ')) AS id, min(CASE WH
   rings AS (SELECT id FROM above WHERE id = a),
   caught AS (SELECT id, min(a) AS cycle_hash FROM (SELECT id, a FROM above WHERE a IN (SELECT id FROM rings)) GROUP BY 1)"""
 
+#: The definition of a change spelled out: values of complete lines by dotted name, files with the one before, shared records.
+_P4 = """WITH v AS (SELECT r.feed, r.file_no, r.line_no, substr(t.fullkey, 3) AS name, CASE t.type WHEN 'BIGINT' THEN 'integer' WHEN 'UBIGINT' THEN 'integer' WHEN 'HUGEINT' THEN 'integer' WHEN 'NULL' THEN NULL ELSE t.type END AS kind,
+      CASE WHEN t.type = 'NULL' THEN NULL ELSE t.type || ' ' || CAST(t.value AS VARCHAR) END AS value
+    FROM (SELECT * FROM raw_files WHERE json_valid(payload) AND json_type(payload) = 'OBJECT') r, json_tree(r.payload) t WHERE t.type <> 'OBJECT' AND t.fullkey NOT LIKE '%[%'),
+  k AS (SELECT feed, file_no, line_no, max(CASE WHEN name = 'block_number' THEN value END) || '/' || coalesce(max(CASE WHEN name = 'transaction_index' THEN value END), max(CASE WHEN name = 'fill_index' THEN value END)) AS rec FROM v GROUP BY ALL),
+  n AS (SELECT feed, file_no, name, coalesce(string_agg(DISTINCT kind, '+' ORDER BY kind), '') AS kinds FROM v GROUP BY ALL),
+  f AS (SELECT feed, file_no, lag(file_no) OVER (PARTITION BY feed ORDER BY file_no) AS prev FROM (SELECT DISTINCT feed, file_no FROM v)),
+  d AS (SELECT f.feed, f.file_no, f.prev, coalesce(a.name, b.name) AS name, a.name IS NULL AS came, b.name IS NULL AS gone, a.kinds AS old_kinds, b.kinds AS kinds FROM f
+    JOIN (SELECT feed, file_no, name FROM n UNION SELECT f2.feed, f2.file_no, n2.name FROM f f2 JOIN n n2 ON n2.feed = f2.feed AND n2.file_no = f2.prev) x ON x.feed = f.feed AND x.file_no = f.file_no
+    LEFT JOIN n a ON a.feed = f.feed AND a.file_no = f.prev AND a.name = x.name LEFT JOIN n b ON b.feed = f.feed AND b.file_no = f.file_no AND b.name = x.name WHERE f.prev IS NOT NULL),
+  s AS (SELECT f.feed, f.file_no, k1.rec, k1.line_no AS old_line, k2.line_no AS new_line, f.prev FROM f JOIN k k1 ON k1.feed = f.feed AND k1.file_no = f.prev JOIN k k2 ON k2.feed = f.feed AND k2.file_no = f.file_no AND k2.rec = k1.rec),
+  p AS (SELECT g.feed, g.file_no, g.name AS old_name, c.name AS new_name FROM d g JOIN d c ON g.feed = c.feed AND g.file_no = c.file_no WHERE g.gone AND c.came),
+  e AS (SELECT p.feed, p.file_no, p.old_name, p.new_name, bool_and(o.value IS NOT DISTINCT FROM w.value) AS same, count(o.value) AS known FROM p JOIN s ON s.feed = p.feed AND s.file_no = p.file_no
+    LEFT JOIN v o ON o.feed = s.feed AND o.file_no = s.prev AND o.line_no = s.old_line AND o.name = p.old_name LEFT JOIN v w ON w.feed = s.feed AND w.file_no = s.file_no AND w.line_no = s.new_line AND w.name = p.new_name GROUP BY 1, 2, 3, 4),
+  m AS (SELECT feed, file_no, old_name, new_name FROM e WHERE same AND known > 0)
+  SELECT feed, file_no, 'renamed' AS change, old_name, new_name FROM m
+  UNION ALL SELECT feed, file_no, 'removed', name, '' FROM d WHERE gone AND NOT EXISTS (SELECT 1 FROM m WHERE m.feed = d.feed AND m.file_no = d.file_no AND m.old_name = d.name)
+  UNION ALL SELECT feed, file_no, 'added', '', name FROM d WHERE came AND NOT EXISTS (SELECT 1 FROM m WHERE m.feed = d.feed AND m.file_no = d.file_no AND m.new_name = d.name)
+  UNION ALL SELECT feed, file_no, 'retyped', name, name FROM d WHERE NOT gone AND NOT came AND old_kinds <> '' AND kinds <> '' AND old_kinds <> kinds"""
+
 SQL: dict[str, str] = {
+    "p4_found": _P4,
     "p2_found": f"{_T} {_P2}",
     "p2_lookup_indexes": f"""{_T}, f AS ({_P2}) SELECT c.block_number, c.transaction_index, c.parent_pos, c.pos, c.child = 'lookup_writable' AS writable, p.value AS account_key, CAST(c.value AS INTEGER) AS "index"
         FROM f c JOIN f p ON p.child = 'lookup' AND c.child IN ('lookup_readonly', 'lookup_writable') AND p.block_number = c.block_number AND p.transaction_index = c.transaction_index AND p.pos = c.parent_pos""",

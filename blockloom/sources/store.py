@@ -23,6 +23,7 @@ from blockloom.plans.execute import BUDGET, Execution, Tables
 from blockloom.plans.request import Query
 from blockloom.sources.files import Files
 from blockloom.sources.layout import write_table
+from blockloom.sources.physical import SORT_KEYS
 
 
 @dataclass(frozen=True)
@@ -205,7 +206,7 @@ class Store:
 
     def __init__(self, spark: SparkSession, root: str, catalog: Catalog, kind: str, sort_keys: Mapping[str, list[str]] | None = None) -> None:
         self.spark, self.files, self.catalog, self.kind = spark, Files(spark, root), catalog, kind
-        self.sort_keys = dict(sort_keys or {t.name: list(t.key) for t in catalog})
+        self.sort_keys = dict(sort_keys or {t.name: list(SORT_KEYS.get(kind, {}).get(t.name, t.key)) for t in catalog})
 
     def versions(self) -> list[int]:
         return sorted(int(n[:-5]) for n in self.files.names("manifest") if n.endswith(".json") and n[:-5].isdigit())
@@ -245,7 +246,7 @@ class Store:
         paths, schemas, rows = {}, {}, 0
         for name in sorted(tables, key=lambda n: n == self.catalog.header.name):
             paths[name] = f"{place}/{name}.parquet"
-            write_table(tables[name], f"{self.files.root}/{paths[name]}", self.sort_keys.get(name, []))
+            write_table(tables[name], f"{self.files.root}/{paths[name]}", [c for c in self.sort_keys.get(name, []) if c in tables[name].columns])
             schemas[name] = tables[name].schema.json()
             rows = max(rows, self.spark.read.parquet(f"{self.files.root}/{paths[name]}").count())  # of the largest table
         return StoredChunk(ends["first"], ends["last"], ends["hash"], parent_hash, paths, rows, schemas)
