@@ -12,6 +12,7 @@ the table, whatever their names, are not read.
 
 from __future__ import annotations
 
+from fractions import Fraction
 from math import floor
 
 from pyspark.sql import Column, DataFrame
@@ -42,4 +43,5 @@ def frequent_values(df: DataFrame, column: Column | str, support: float) -> Data
     total = counts.agg(F.sum("n").alias("total"))
     # floor(1/support) in floats may fall one short; one more row costs nothing, the filter decides.
     top = counts.orderBy(F.desc("n"), "value").limit(floor(1 / support) + 1)
-    return top.join(F.broadcast(total)).where(F.col("n") >= F.col("total") * F.lit(support))
+    share = Fraction(str(support))  # compared in whole numbers: a share that is met exactly counts
+    return top.join(F.broadcast(total)).where(F.col("n") * share.denominator >= F.col("total") * share.numerator)
