@@ -55,6 +55,10 @@ def leaves(record: dict, prefix: str = "") -> Iterator[tuple[str, object]]:
             yield f"{prefix}{name}", value
 
 
+def _no_json(word: str) -> None:
+    raise ValueError(f"{word} is not JSON")
+
+
 def parse(df: DataFrame, feed: str, file_no: str, line_no: str, payload: str, keys: Sequence[Sequence[str]]) -> DataFrame:
     """feed, file_no, line_no, rec, name, kind, value: one row per value of each complete line.
 
@@ -69,7 +73,7 @@ def parse(df: DataFrame, feed: str, file_no: str, line_no: str, payload: str, ke
             at, recs, names, kinds, values = [], [], [], [], []
             for i, text in enumerate(batch.column(3).to_pylist()):
                 try:
-                    record = json.loads(text) if text else None
+                    record = json.loads(text, parse_constant=_no_json) if text else None
                 except (ValueError, RecursionError):
                     continue
                 if not isinstance(record, dict):
@@ -175,13 +179,14 @@ def correspondences(old: dict[str, str | None], new: dict[str, str | None], agre
 # Changes ------------------------------------------------------------------------------------------------------
 
 
-def changes(values: DataFrame) -> DataFrame:
+def changes(values: DataFrame, files: DataFrame | None = None) -> DataFrame:
     """feed, file_no, change, old_name, new_name: each difference of a file from the one before it in its feed.
 
-    ``values``: what ``parse`` gives, preferably written once, as it is read several times.
+    ``values``: what ``parse`` gives, preferably written once, as it is read several times. ``files`` (feed, file_no) names
+    all files; without it, a file that has no complete line isn't known.
     """
     per_name = values.groupBy("feed", "file_no", "name").agg(F.array_sort(F.collect_set("kind")).alias("kinds"))
-    files = values.select("feed", "file_no").distinct()
+    files = (values if files is None else files).select("feed", "file_no").distinct()
     previous = files.withColumn("before", F.lag("file_no").over(W.partitionBy("feed").orderBy("file_no"))).where(F.col("before").isNotNull())
     now = per_name.join(previous, ["feed", "file_no"]).select("feed", "file_no", "before", "name", "kinds")
     then = previous.join(per_name.withColumnRenamed("file_no", "before"), ["feed", "before"]).select("feed", "file_no", "name", F.col("kinds").alias("old_kinds"))

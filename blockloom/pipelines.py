@@ -36,7 +36,7 @@ def _raw_values(spark: SparkSession, root: str) -> DataFrame:
 
 def p4_found(spark: SparkSession, root: str) -> DataFrame:
     """Every change between consecutive files of a feed."""
-    return drift.changes(_raw_values(spark, root))
+    return drift.changes(_raw_values(spark, root), load(spark, root, "raw_files").select("feed", "file_no"))
 
 
 def _united(spark: SparkSession, root: str, key: tuple[str, str], fields: dict[str, str]) -> DataFrame:
@@ -136,7 +136,7 @@ _P4 = """WITH v AS (SELECT r.feed, r.file_no, r.line_no, substr(t.fullkey, 3) AS
     FROM (SELECT * FROM raw_files WHERE json_valid(payload) AND json_type(payload) = 'OBJECT') r, json_tree(r.payload) t WHERE t.type <> 'OBJECT' AND t.fullkey NOT LIKE '%[%'),
   k AS (SELECT feed, file_no, line_no, max(CASE WHEN name = 'block_number' THEN value END) || '/' || coalesce(max(CASE WHEN name = 'transaction_index' THEN value END), max(CASE WHEN name = 'fill_index' THEN value END)) AS rec FROM v GROUP BY ALL),
   n AS (SELECT feed, file_no, name, coalesce(string_agg(DISTINCT kind, '+' ORDER BY kind), '') AS kinds FROM v GROUP BY ALL),
-  f AS (SELECT feed, file_no, lag(file_no) OVER (PARTITION BY feed ORDER BY file_no) AS prev FROM (SELECT DISTINCT feed, file_no FROM v)),
+  f AS (SELECT feed, file_no, lag(file_no) OVER (PARTITION BY feed ORDER BY file_no) AS prev FROM (SELECT DISTINCT feed, file_no FROM raw_files)),
   d AS (SELECT f.feed, f.file_no, f.prev, coalesce(a.name, b.name) AS name, a.name IS NULL AS came, b.name IS NULL AS gone, a.kinds AS old_kinds, b.kinds AS kinds FROM f
     JOIN (SELECT feed, file_no, name FROM n UNION SELECT f2.feed, f2.file_no, n2.name FROM f f2 JOIN n n2 ON n2.feed = f2.feed AND n2.file_no = f2.prev) x ON x.feed = f.feed AND x.file_no = f.file_no
     LEFT JOIN n a ON a.feed = f.feed AND a.file_no = f.prev AND a.name = x.name LEFT JOIN n b ON b.feed = f.feed AND b.file_no = f.file_no AND b.name = x.name WHERE f.prev IS NOT NULL),

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Mapping, Sequence
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,7 +19,7 @@ from pyspark.sql.streaming import StreamingQuery
 from blockloom.catalog import camel
 from blockloom.errors import StoreConflict
 from blockloom.sources.blocks import Block, Fork, Source
-from blockloom.sources.store import Manifest, Store, rollback_point
+from blockloom.sources.store import BlockRef, Manifest, Store, rollback_point
 
 MAX_ROWS = 200_000
 
@@ -47,32 +48,41 @@ class Ingest:
         self.store, self.schemas, self.max_rows, self.keep = store, dict(schemas), max_rows, keep
 
     def apply(self, blocks: Sequence[Block]) -> Manifest:
-        """Commit linked blocks after the head, or in place of what is there from their first block on. Blocks that
-        are stored already are left out, so a repeated batch is harmless."""
+        """Commit blocks that the driver holds."""
+        lines = self.store.spark.createDataFrame([(json.dumps(b.body),) for b in blocks], "line string")
+        return self.apply_lines(lines)
+
+    def apply_lines(self, lines: DataFrame) -> Manifest:
+        """Commit linked blocks after the head, or in place of what is there from their first block on. Blocks that are
+        stored already are left out, so a repeated batch is harmless. Only numbers and hashes come to the driver."""
+        header = self.store.catalog.header
+        number = f"$.header.{camel(header.block)}"
+        numbered = lines.select("line", F.get_json_object("line", number).cast("long").alias("n"))
+        found = numbered.where("n is not null").select("n", F.get_json_object("line", "$.header.hash").alias("hash"), F.coalesce(F.get_json_object("line", "$.header.parentHash"), F.lit("")).alias("parent"), F.coalesce(F.get_json_object("line", "$.final") == "true", F.lit(False)).alias("final"))
+        refs = sorted(found.distinct().collect())
         m = self.store.snapshot()
-        known = {c.last: c.last_hash for c in m.chunks}
         head = m.head
-        if head and blocks and blocks[-1].number <= head.number and known.get(blocks[-1].number) == blocks[-1].ref.hash:
-            return self._finish(m, blocks)
+        known = {c.last: c.last_hash for c in m.chunks}
+        if head and refs and refs[-1]["n"] <= head.number and known.get(refs[-1]["n"]) == refs[-1]["hash"]:
+            return self._finish(m, refs)
         if head:
-            fresh = [b for b in blocks if b.number > head.number]
-            if fresh and fresh[0].parent_hash == head.hash:
-                blocks = fresh
-        for a, b in zip(blocks, blocks[1:]):
-            if b.parent_hash != a.ref.hash:
-                raise StoreConflict(f"block {b.number} doesn't link to {a.number}")
-        if not blocks:
+            fresh = [r for r in refs if r["n"] > head.number]
+            if fresh and fresh[0]["parent"] == head.hash:
+                refs = fresh
+        for a, b in zip(refs, refs[1:]):
+            if b["parent"] != a["hash"] or b["n"] <= a["n"]:
+                raise StoreConflict(f"block {b['n']} doesn't link to {a['n']}")
+        if not refs:
             return m
-        spark = self.store.spark
-        lines = spark.createDataFrame([(json.dumps(b.body),) for b in blocks], "line string")
-        tables = batch_tables(spark, self.store, lines, self.schemas)
-        put = self.store.append if head is None or (blocks[0].number > head.number and blocks[0].parent_hash == head.hash) else self.store.fork
-        return self._finish(put(tables, blocks[0].parent_hash), blocks)
-
-    def _finish(self, m: Manifest, blocks: Sequence[Block]) -> Manifest:
-        final = [b for b in blocks if b.final]
+        chosen = numbered.where(F.col("n").between(refs[0]["n"], refs[-1]["n"])).dropDuplicates(["line"])
+        tables = batch_tables(self.store.spark, self.store, chosen, self.schemas)
+        put = self.store.append if head is None or (refs[0]["n"] > head.number and refs[0]["parent"] == head.hash) else self.store.fork
+        return self._finish(put(tables, refs[0]["parent"]), refs)
+
+    def _finish(self, m: Manifest, refs: Sequence) -> Manifest:
+        final = [r for r in refs if r["final"]]
         if final:
-            m = self.store.finalize(final[-1].ref)
+            m = self.store.finalize(BlockRef(final[-1]["n"], final[-1]["hash"]))
         return self.store.retain(keep=self.keep) if self.keep is not None else m
 
     def step(self, source: Source) -> str:
@@ -123,17 +133,17 @@ class Ingest:
             if m.finalized and m.finalized.number > at.number:
                 raise StoreConflict(f"block {m.finalized.number} is final")
             if len(kept) < len(m.chunks):
-                from dataclasses import replace
-
                 self.store.commit(m, replace(m, chunks=kept))
         self.apply(got)
         return "rolled back"
 
     def handle(self, batch: DataFrame, _: int) -> None:
-        """A micro-batch of lines. Its size is bounded by the source's rows per batch."""
-        blocks = sorted((Block(json.loads(r["line"])) for r in batch.toLocalIterator() if r["line"]), key=lambda b: b.number)
-        if blocks:
-            self.apply(blocks)
+        """A micro-batch of lines; it stays distributed."""
+        kept = batch.select("line").where("line is not null and line != \'\'").persist()
+        try:
+            self.apply_lines(kept)
+        finally:
+            kept.unpersist()
 
     def start(self, lines: DataFrame, checkpoint: str, available_now: bool = True) -> StreamingQuery:
         writer = lines.writeStream.foreachBatch(self.handle).option("checkpointLocation", checkpoint)

@@ -83,6 +83,14 @@ def test_unify(spark):
         drift.unify(values, drift.changes(values), drift.TRANSACTION_KEY, drift.TRANSACTION_FIELDS, most=2)
 
 
+def test_a_file_without_a_complete_line(spark):
+    df = _rows(spark, {("a", 1): [_tx(0, v=1)], ("a", 2): ['{"block_n', '{"x": NaN}'], ("a", 3): [_tx(0, v=1)]})
+    names = ["block_number", "transaction_index", "v"]
+    got = {tuple(r) for r in drift.changes(_parsed(df), df.select("feed", "file_no")).collect()}
+    assert got == {("a", 2, "removed", n, "") for n in names} | {("a", 3, "added", "", n) for n in names}
+    assert drift.changes(_parsed(df)).count() == 0
+
+
 def test_empty(spark):
     df = _rows(spark, {("a", 1): [_tx(0, v=1)]}).limit(0)
     assert drift.changes(_parsed(df)).count() == 0
