@@ -1,7 +1,7 @@
 """Logical plans: scans feed outputs and relations, relations feed outputs.
 
 ``simplify`` works on facts Catalyst doesn't have: a table that some request takes whole needs no other condition;
-where a parent table is whole, a child table it links to completely is whole too; and so on to a fixpoint.
+where all rows of a parent table ask for a child table it links to completely, that is whole too.
 """
 
 from __future__ import annotations
@@ -84,16 +84,14 @@ class Plan:
 
 
 def whole_tables(catalog: Catalog, scans: Sequence[Scan]) -> set[str]:
-    """Tables whose every row is in the output."""
-    whole = {s.table for s in scans if s.predicate is None and s.shown}
-    unconditional = [s for s in scans if s.predicate is None]
-    relations = {r for s in scans for r in s.relations}
-    while True:
-        # A relation has a whole source if a scan without a predicate feeds it, or some scan of a table that is whole does.
-        more = {r.target for r in relations if r.passes_all(catalog) and any(r in s.relations for s in unconditional)} - whole
-        if not more:
-            return whole
-        whole |= more
+    """Tables whose every row is in the output: requested whole, or linked to completely from rows that are."""
+    whole = set()
+    for s in scans:
+        if s.predicate is None:
+            whole |= {r.target for r in s.relations if r.passes_all(catalog)}
+            if s.shown:
+                whole.add(s.table)
+    return whole
 
 
 def simplify(plan: Plan) -> Plan:

@@ -40,7 +40,7 @@ def test_trees_of_a_whole_table_are_whole():
     assert simplify(Plan(catalog, (Scan("calls", None, (up,)), Scan("calls", Eq("name", "x"), (up,))), {})).scans == (Scan("calls"),)
 
 
-def test_links_are_followed_to_a_fixpoint():
+def test_links_are_followed_from_every_whole_table():
     catalog = Catalog([TableDef("blocks", ("number",)), TableDef("a", ("b", "i"), children={"c": ("b", "i")}), TableDef("c", ("b", "i"), children={"d": ("b", "i")}), TableDef("d", ("b", "i"))])
     ac, cd = Relation("join", "a", ("b", "i"), "c", ("b", "i")), Relation("join", "c", ("b", "i"), "d", ("b", "i"))
     p = simplify(Plan(catalog, (Scan("a", None, (ac,)), Scan("c", None, (cd,)), Scan("d", Eq("x", 1))), {}))
