@@ -121,9 +121,10 @@ class _Groups:
 
 
 def _emit(groups: _Groups, schema: pa.Schema, keys: Sequence[str], group: np.ndarray, node: np.ndarray, count: np.ndarray, step: int = 50_000) -> Iterator[pa.RecordBatch]:
+    values = [pa.array([v[j] for v in groups.values], type=schema.field(k).type) for j, k in enumerate(keys)]
     for at in range(0, len(node), step):
-        g = group[at : at + step].tolist()
-        columns = [pa.array([groups.values[i][j] for i in g], type=schema.field(k).type) for j, k in enumerate(keys)]
+        g = pa.array(group[at : at + step])
+        columns = [v.take(g) for v in values]
         yield pa.RecordBatch.from_arrays([*columns, pa.array(node[at : at + step]), pa.array(count[at : at + step])], schema=schema)
 
 
