@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -236,20 +237,29 @@ class Store:
         """Write a chunk's tables; it counts once a manifest names it. Blocks must link to each other."""
         header = tables[self.catalog.header.name]
         number = self.catalog.header.block
-        listed = header.select(F.col(number).cast("long").alias("n"), "hash", "parent_hash").orderBy("n")
-        ends = listed.agg(F.min("n").alias("first"), F.max("n").alias("last"), F.min_by("parent_hash", "n").alias("parent"), F.max_by("hash", "n").alias("hash"), F.count(F.lit(1)).alias("blocks")).first()
-        if not ends["blocks"]:
-            raise StoreConflict("a chunk needs a block")
-        if ends["parent"] != parent_hash or broken_links(header, number).limit(1).count():
-            raise StoreConflict("the chunk's blocks don't link")
         place = f"data/{uuid.uuid4().hex}"
-        paths, schemas, rows = {}, {}, 0
-        for name in sorted(tables, key=lambda n: n == self.catalog.header.name):
-            paths[name] = f"{place}/{name}.parquet"
-            write_table(tables[name], f"{self.files.root}/{paths[name]}", [c for c in self.sort_keys.get(name, []) if c in tables[name].columns])
-            schemas[name] = tables[name].schema.json()
-            rows = max(rows, self.spark.read.parquet(f"{self.files.root}/{paths[name]}").count())  # of the largest table
-        return StoredChunk(ends["first"], ends["last"], ends["hash"], parent_hash, paths, rows, schemas)
+        paths = {name: f"{place}/{name}.parquet" for name in tables}
+
+        def write(name: str) -> int:
+            path = f"{self.files.root}/{paths[name]}"
+            write_table(tables[name], path, [c for c in self.sort_keys.get(name, []) if c in tables[name].columns])
+            return self.spark.read.parquet(path).count()  # from the footers
+
+        def ends():
+            listed = header.select(F.col(number).cast("long").alias("n"), "hash", "parent_hash")
+            return listed.agg(F.min("n").alias("first"), F.max("n").alias("last"), F.min_by("parent_hash", "n").alias("parent"), F.max_by("hash", "n").alias("hash")).first()
+
+        # Independent jobs; nothing counts before the commit, so the checks may run beside the writes.
+        with ThreadPoolExecutor(len(tables) + 2) as pool:
+            checks, broken = pool.submit(ends), pool.submit(lambda: not broken_links(header, number).isEmpty())
+            counts = {name: pool.submit(write, name) for name in tables}
+            found, rows = checks.result(), max(c.result() for c in counts.values())
+            unlinked = broken.result()
+        if found["first"] is None or found["parent"] != parent_hash or unlinked:
+            self.files.delete(place)
+            raise StoreConflict("a chunk needs a block" if found["first"] is None else "the chunk's blocks don't link")
+        schemas = {name: df.schema.json() for name, df in tables.items()}
+        return StoredChunk(found["first"], found["last"], found["hash"], parent_hash, paths, rows, schemas)
 
     def append(self, tables: Mapping[str, DataFrame], parent_hash: str) -> Manifest:
         m = self.snapshot()
