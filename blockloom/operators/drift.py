@@ -30,6 +30,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from blockloom.session import materialize
+
 NAMES = 20_000
 
 
@@ -60,17 +62,18 @@ def _no_json(word: str) -> None:
 
 
 def parse(df: DataFrame, feed: str, file_no: str, line_no: str, payload: str, keys: Sequence[Sequence[str]]) -> DataFrame:
-    """feed, file_no, line_no, rec, name, kind, value: one row per value of each complete line.
+    """feed, file_no, line_no, rec, fields: one row per complete line.
 
     ``keys``: alternative lists of names that identify a record; ``rec`` is null for a record without one.
-    ``value`` is the value's canonical JSON, null for null.
+    ``fields``: name, kind (JSON type, null for null) and canonical JSON (null for null) of every value that is no object.
     """
     rows = df.select(F.col(feed).alias("feed"), F.col(file_no).alias("file_no"), F.col(line_no).cast("long").alias("line_no"), F.col(payload).alias("payload"))
-    schema = "feed string, file_no int, line_no long, rec string, name string, kind string, value string"
+    schema = "feed string, file_no int, line_no long, rec string, fields array<struct<name:string,kind:string,value:string>>"
+    field = pa.list_(pa.struct([("name", pa.string()), ("kind", pa.string()), ("value", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, recs, names, kinds, values = [], [], [], [], []
+            at, recs, fields = [], [], []
             for i, text in enumerate(batch.column(3).to_pylist()):
                 try:
                     record = json.loads(text, parse_constant=_no_json) if text else None
@@ -79,20 +82,20 @@ def parse(df: DataFrame, feed: str, file_no: str, line_no: str, payload: str, ke
                 if not isinstance(record, dict):
                     continue
                 flat = dict(leaves(record))
-                rec = next((json.dumps([flat[k] for k in key]) for key in keys if all(flat.get(k) is not None for k in key)), None)
-                for name, value in flat.items():
-                    at.append(i)
-                    recs.append(rec)
-                    names.append(name)
-                    kinds.append(json_type(value))
-                    values.append(None if value is None else json.dumps(value, ensure_ascii=False))
+                at.append(i)
+                recs.append(next((json.dumps([flat[k] for k in key]) for key in keys if all(flat.get(k) is not None for k in key)), None))
+                fields.append([(n, json_type(v), None if v is None else json.dumps(v, ensure_ascii=False)) for n, v in flat.items()])
             taken = [batch.column(c).take(pa.array(at, type=pa.int64())) for c in range(3)]
-            text = lambda x: pa.array(x, type=pa.string())
-            yield pa.RecordBatch.from_arrays([*taken, text(recs), text(names), text(kinds), text(values)], names=["feed", "file_no", "line_no", "rec", "name", "kind", "value"])
+            yield pa.RecordBatch.from_arrays([*taken, pa.array(recs, type=pa.string()), pa.array([[dict(zip(("name", "kind", "value"), x)) for x in f] for f in fields], type=field)], names=["feed", "file_no", "line_no", "rec", "fields"])
 
     return rows.mapInArrow(run, schema)
 
 
+def exploded(lines: DataFrame, *keys: str) -> DataFrame:
+    """keys, name, kind, value: one row per value."""
+    return lines.select(*keys, F.inline("fields"))
+
+
 # Flooding -----------------------------------------------------------------------------------------------------
 
 
@@ -179,59 +182,60 @@ def correspondences(old: dict[str, str | None], new: dict[str, str | None], agre
 # Changes ------------------------------------------------------------------------------------------------------
 
 
-def changes(values: DataFrame, files: DataFrame | None = None) -> DataFrame:
+def changes(lines: DataFrame, files: DataFrame | None = None) -> DataFrame:
     """feed, file_no, change, old_name, new_name: each difference of a file from the one before it in its feed.
 
-    ``values``: what ``parse`` gives, preferably written once, as it is read several times. ``files`` (feed, file_no) names
+    ``lines``: what ``parse`` gives, preferably written once, as it is read several times. ``files`` (feed, file_no) names
     all files; without it, a file that has no complete line isn't known.
     """
-    per_name = values.groupBy("feed", "file_no", "name").agg(F.array_sort(F.collect_set("kind")).alias("kinds"))
-    files = (values if files is None else files).select("feed", "file_no").distinct()
-    previous = files.withColumn("before", F.lag("file_no").over(W.partitionBy("feed").orderBy("file_no"))).where(F.col("before").isNotNull())
-    now = per_name.join(previous, ["feed", "file_no"]).select("feed", "file_no", "before", "name", "kinds")
-    then = previous.join(per_name.withColumnRenamed("file_no", "before"), ["feed", "before"]).select("feed", "file_no", "name", F.col("kinds").alias("old_kinds"))
-    both = now.drop("before").join(then, ["feed", "file_no", "name"], "full").select("feed", "file_no", "name", "old_kinds", "kinds", F.col("old_kinds").isNull().alias("came"), F.col("kinds").isNull().alias("gone"))
+    per_name = exploded(lines, "feed", "file_no").groupBy("feed", "file_no", "name").agg(F.array_sort(F.collect_set("kind")).alias("kinds"))
+    known = (lines if files is None else files).select("feed", "file_no").distinct()
+    order = W.partitionBy("feed").orderBy("file_no")
+    placed = known.select("feed", "file_no", F.lag("file_no").over(order).alias("before"), F.lead("file_no").over(order).alias("after"))
+    # A name counts for its own file and, as an old one, for the file after; both sides meet in one aggregation.
+    sided = per_name.join(placed, ["feed", "file_no"])
+    new_side = sided.where("before is not null").select("feed", "file_no", "name", F.lit(None).cast("array<string>").alias("old"), F.col("kinds").alias("new"))
+    old_side = sided.where("after is not null").select("feed", F.col("after").alias("file_no"), "name", F.col("kinds").alias("old"), F.lit(None).cast("array<string>").alias("new"))
+    both = new_side.unionByName(old_side).groupBy("feed", "file_no", "name").agg(F.max("old").alias("old_kinds"), F.max("new").alias("kinds"))
+    both, _ = materialize(both.select("*", F.col("old_kinds").isNull().alias("came"), F.col("kinds").isNull().alias("gone")))
     retyped = both.where("not came and not gone and size(kinds) > 0 and size(old_kinds) > 0 and kinds != old_kinds").select("feed", "file_no", F.lit("retyped").alias("change"), F.col("name").alias("old_name"), F.col("name").alias("new_name"))
 
-    # Values of shared records under names that are gone, beside those under names that are new.
-    first = values.where(F.col("rec").isNotNull()).groupBy("feed", "file_no", "rec", "name").agg(F.min_by("value", "line_no").alias("value"))
-    unsure = both.groupBy("feed", "file_no").agg(F.max("gone").alias("g"), F.max("came").alias("c")).where("g and c").select("feed", "file_no").join(previous, ["feed", "file_no"])
-    lost = first.withColumnRenamed("file_no", "before").join(unsure, ["feed", "before"]).join(both.where("gone").select("feed", "file_no", "name"), ["feed", "file_no", "name"], "left_semi")
-    won = first.join(both.where("came").select("feed", "file_no", "name"), ["feed", "file_no", "name"], "left_semi")
-    # A record whose field is absent counts like null, so records are held against each other by what both files know of them.
-    shared = first.select("feed", "file_no", "rec").distinct().join(unsure, ["feed", "file_no"]).join(first.select("feed", F.col("file_no").alias("before"), "rec").distinct(), ["feed", "before", "rec"]).select("feed", "file_no", "rec")
-    names_gone = both.where("gone").select("feed", "file_no", F.col("name").alias("old_name"))
-    names_came = both.where("came").select("feed", "file_no", F.col("name").alias("new_name"))
-    pairs = shared.join(names_gone, ["feed", "file_no"]).join(names_came, ["feed", "file_no"])
-    old_values = lost.select("feed", "file_no", "rec", F.col("name").alias("old_name"), F.col("value").alias("old_value"))
-    new_values = won.select("feed", "file_no", "rec", F.col("name").alias("new_name"), F.col("value").alias("new_value"))
-    compared = pairs.join(old_values, ["feed", "file_no", "rec", "old_name"], "left").join(new_values, ["feed", "file_no", "rec", "new_name"], "left")
-    same = F.col("old_value").eqNullSafe(F.col("new_value"))
-    evidence = compared.groupBy("feed", "file_no", "old_name", "new_name").agg(
-        F.sum((same & F.col("old_value").isNotNull()).cast("int")).alias("agree"), F.sum((~same).cast("int")).alias("differ")
-    )
-    schema = both.join(unsure.select("feed", "file_no"), ["feed", "file_no"], "left_semi")
+    # Files that lose and gain names, with both lists: only there may something have been renamed.
     kind = lambda c: F.when(F.size(c) > 0, F.array_join(c, "+"))
-    blank = F.lit(None).cast("string")
-    given = schema.select("feed", "file_no", F.when(~F.col("came"), F.col("name")).alias("old_name"), F.when(~F.col("gone"), F.col("name")).alias("new_name"), kind("old_kinds").alias("old_kind"), kind("kinds").alias("new_kind"), F.lit(-1).cast("long").alias("agree"), F.lit(-1).cast("long").alias("differ"))
-    given = given.unionByName(evidence.select("feed", "file_no", "old_name", "new_name", blank.alias("old_kind"), blank.alias("new_kind"), "agree", "differ"))
-
-    def match(group: pa.Table) -> pa.Table:
-        rows = group.to_pydict()
-        facts = [n >= 0 for n in rows["agree"]]
-        pick = lambda name, kind: {n: k for n, k, fact in zip(rows[name], rows[kind], facts) if n is not None and not fact}
-        count = lambda of: {(a, b): n for a, b, n, fact in zip(rows["old_name"], rows["new_name"], rows[of], facts) if fact}
-        order = lambda d: {k: d[k] for k in sorted(d)}
-        chosen = correspondences(order(pick("old_name", "old_kind")), order(pick("new_name", "new_kind")), count("agree"), count("differ"))
-        columns = {
-            "feed": pa.array(rows["feed"][:1] * len(chosen), pa.string()),
-            "file_no": pa.array(rows["file_no"][:1] * len(chosen), pa.int32()),
-            "old_name": pa.array([a for a, _ in chosen], pa.string()),
-            "new_name": pa.array([b for _, b in chosen], pa.string()),
-        }
-        return pa.table(columns)
-
-    renamed = given.groupBy("feed", "file_no").applyInArrow(match, "feed string, file_no int, old_name string, new_name string")
+    schemas = both.groupBy("feed", "file_no").agg(
+        F.collect_list(F.when(F.col("gone"), F.col("name"))).alias("lost"),
+        F.collect_list(F.when(F.col("came"), F.col("name"))).alias("won"),
+        F.collect_list(F.when(~F.col("came"), F.struct("name", kind(F.col("old_kinds")).alias("kind")))).alias("old"),
+        F.collect_list(F.when(~F.col("gone"), F.struct("name", kind(F.col("kinds")).alias("kind")))).alias("new"),
+    )
+    unsure, _ = materialize(schemas.where("size(lost) > 0 and size(won) > 0").join(placed.select("feed", "file_no", "before"), ["feed", "file_no"]))
+
+    # Records that both files hold: what they have under names that are gone, beside names that are new.
+    values = F.map_from_entries(F.transform("fields", lambda x: F.struct(x["name"], x["value"])))
+    records = lines.where(F.col("rec").isNotNull())
+    old = records.withColumnRenamed("file_no", "before").join(unsure.select("feed", "before", "file_no", "lost", "won"), ["feed", "before"]).groupBy("feed", "file_no", "rec").agg(F.min_by("fields", "line_no").alias("fields"), F.first("lost").alias("lost"), F.first("won").alias("won"))
+    new = records.join(unsure.select("feed", "file_no"), ["feed", "file_no"]).groupBy("feed", "file_no", "rec").agg(F.min_by("fields", "line_no").alias("fields"))
+    shared = old.select("feed", "file_no", "rec", "lost", "won", values.alias("old_values")).join(new.select("feed", "file_no", "rec", values.alias("new_values")), ["feed", "file_no", "rec"])
+    compared = shared.select("feed", "file_no", "old_values", "new_values", "won", F.explode("lost").alias("old_name")).select("feed", "file_no", "old_values", "new_values", "old_name", F.explode("won").alias("new_name"))
+    old_value, new_value = F.try_element_at("old_values", F.col("old_name")), F.try_element_at("new_values", F.col("new_name"))
+    same = old_value.eqNullSafe(new_value)
+    evidence = compared.groupBy("feed", "file_no", "old_name", "new_name").agg(F.sum((same & old_value.isNotNull()).cast("int")).alias("agree"), F.sum((~same).cast("int")).alias("differ"))
+    facts = evidence.groupBy("feed", "file_no").agg(F.collect_list(F.struct("old_name", "new_name", "agree", "differ")).alias("facts"))
+    given = unsure.select("feed", "file_no", "old", "new").join(facts, ["feed", "file_no"])
+
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: dict[str, list] = {"feed": [], "file_no": [], "old_name": [], "new_name": []}
+            for row in batch.to_pylist():
+                schema = lambda side: {x["name"]: x["kind"] for x in sorted(row[side], key=lambda x: x["name"])}  # noqa: B023, E731
+                count = lambda of: {(x["old_name"], x["new_name"]): x[of] for x in row["facts"]}  # noqa: B023, E731
+                for a, b in correspondences(schema("old"), schema("new"), count("agree"), count("differ")):
+                    for column, x in zip(out.values(), (row["feed"], row["file_no"], a, b)):
+                        column.append(x)
+            kinds = (pa.string(), pa.int32(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out.values(), kinds)], names=list(out))
+
+    renamed, _ = materialize(given.mapInArrow(match, "feed string, file_no int, old_name string, new_name string"))
     renamed = renamed.select("feed", "file_no", F.lit("renamed").alias("change"), "old_name", "new_name")
     # One row per name that is gone or new, so that renamed ones leave together with their partner.
     one_sided = both.where("gone or came").select("feed", "file_no", F.when(F.col("gone"), "removed").otherwise("added").alias("change"), "name")
@@ -281,8 +285,9 @@ def cast_json(value: Column, kind: str) -> Column:
     return plain.try_cast(kind)
 
 
-def unify(values: DataFrame, renames: DataFrame, record_key: Sequence[str], target: dict[str, str], most: int = NAMES) -> DataFrame:
+def unify(lines: DataFrame, renames: DataFrame, record_key: Sequence[str], target: dict[str, str], most: int = NAMES) -> DataFrame:
     """One table of all records of a kind: the target's fields first and typed as it says, then every other field as text."""
+    values = exploded(lines, "feed", "file_no", "line_no", "rec")
     pairs = [tuple(r) for r in renames.where("change = 'renamed'").select("old_name", "new_name").distinct().limit(most + 1).collect()]
     names = [r[0] for r in values.select("name").distinct().limit(most + 1).collect()]
     if len(pairs) > most or len(names) > most:

@@ -29,24 +29,21 @@ def p2_lookup_indexes(spark: SparkSession, root: str) -> DataFrame:
     return children.join(parents, ["block_number", "transaction_index", "parent_pos"]).select("block_number", "transaction_index", "parent_pos", "pos", "writable", "account_key", F.col("value").cast("int").alias("index"))
 
 
-def _raw_values(spark: SparkSession, root: str) -> DataFrame:
+def _raw_lines(spark: SparkSession, root: str) -> DataFrame:
     raw = load(spark, root, "raw_files")
     return materialize(drift.parse(raw, "feed", "file_no", "line_no", "payload", [drift.TRANSACTION_KEY, drift.FILL_KEY]))[0]
 
 
 def p4_found(spark: SparkSession, root: str) -> DataFrame:
     """Every change between consecutive files of a feed."""
-    return drift.changes(_raw_values(spark, root), load(spark, root, "raw_files").select("feed", "file_no"))
+    return drift.changes(_raw_lines(spark, root), load(spark, root, "raw_files").select("feed", "file_no"))
 
 
 def _united(spark: SparkSession, root: str, key: tuple[str, str], fields: dict[str, str]) -> DataFrame:
-    # A line is of a kind if it has the kind's second key; both kinds share nothing else.
-    values = _raw_values(spark, root)
-    index = key[1]
-    of_kind = values.where(F.col("name") == index).select("feed", "file_no", "line_no").distinct()
-    values, _ = materialize(values.join(of_kind, ["feed", "file_no", "line_no"], "left_semi"))
-    renames, _ = materialize(drift.changes(values))
-    return drift.unify(values, renames, key, fields)
+    # A line is of a kind if it has the kind's second key.
+    lines = _raw_lines(spark, root).where(F.exists("fields", lambda x: x["name"] == key[1]))
+    renames, _ = materialize(drift.changes(lines))
+    return drift.unify(lines, renames, key, fields)
 
 
 def p4_transactions(spark: SparkSession, root: str) -> DataFrame:
