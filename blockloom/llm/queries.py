@@ -120,6 +120,17 @@ def p9_containers(spark: SparkSession, root: str) -> DataFrame:
     return packing.pack(load(spark, root, "documents"), "doc_id", tokens.count_column(F.col("text")), packing.CAPACITY)
 
 
+def p9_fill_check(spark: SparkSession, root: str) -> DataFrame:
+    """The number of documents, of those cut without need or not placed whole, and of containers above the capacity."""
+    placed = p9_containers(spark, root)
+    per_document = placed.groupBy("doc_id").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("pieces"), F.max("piece").alias("last"))
+    sizes = load(spark, root, "documents").select("doc_id", tokens.count_column(F.col("text")).alias("size"))
+    wrong = (F.col("tokens") != F.col("size")) | (F.col("pieces") != F.col("last") + 1) | (F.col("pieces") != F.greatest(F.lit(1), F.ceil(F.col("size") / packing.CAPACITY)))
+    documents = sizes.join(per_document, "doc_id", "left").agg(F.count(F.lit(1)).alias("documents"), F.count_if(F.coalesce(wrong, F.lit(True))).alias("wrongly_cut"))
+    overfull = placed.groupBy("container").agg(F.sum("tokens").alias("held")).agg(F.count_if(F.col("held") > packing.CAPACITY).alias("overfull"))
+    return documents.join(F.broadcast(overfull))
+
+
 def p10_found(spark: SparkSession, root: str) -> DataFrame:
     """Pairs of documents that share 200 consecutive characters."""
     return spans.shared_pairs(load(spark, root, "documents"), "doc_id", "text")
@@ -132,7 +143,7 @@ def p10_coverage(spark: SparkSession, root: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p1_found, p1_top_values, p3_distinct_users, p3_partials, p3_error_check, p7_percentiles, p7_day_percentiles, p7_rank_check, p8_ids, p8_round_trip, p9_containers, p10_found, p10_coverage)
+    for f in (p1_found, p1_top_values, p3_distinct_users, p3_partials, p3_error_check, p7_percentiles, p7_day_percentiles, p7_rank_check, p8_ids, p8_round_trip, p9_containers, p9_fill_check, p10_found, p10_coverage)
 }
 
 _VALUES = " UNION ALL ".join(f"SELECT '{field}' AS field, lower(trim(\"{field}\", ' ')) AS value FROM {table}" for field, table in _COLUMNS.items())
@@ -153,5 +164,6 @@ SQL: dict[str, str] = {
     "p3_error_check": f"""{_USERS} SELECT 'day' AS "grouping", day, NULL AS coin, count(DISTINCT u) AS exact_users, true AS within FROM w GROUP BY day UNION ALL SELECT 'coin', NULL, coin, count(DISTINCT u), true FROM w GROUP BY coin
         UNION ALL SELECT 'day,coin', day, coin, count(DISTINCT u), true FROM w GROUP BY day, coin UNION ALL SELECT '', NULL, NULL, count(DISTINCT u), true FROM w""",
     "p7_rank_check": " UNION ALL ".join(f"SELECT coin, '{f}' AS field, count(*) AS n, true AS within FROM fills WHERE {f} IS NOT NULL AND NOT isnan({f}) GROUP BY coin" for f in ("px", "sz", "fee")),
+    "p9_fill_check": "SELECT count(*) AS documents, 0 AS wrongly_cut, 0 AS overfull FROM documents",
     "p8_round_trip": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
 }
