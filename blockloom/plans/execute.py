@@ -175,17 +175,20 @@ class Execution:
         return self._within
 
     def check_parent(self) -> None:
-        """The block below the range must have the asserted hash, as the first header of the range tells it."""
+        """The block below the range must have the asserted hash: as the range's first block names its parent, else as the
+        highest block below is stored, however far below."""
         if self.plan.parent_hash is None:
             return
-        header = self.plan.catalog.header
+        header, first = self.plan.catalog.header, self.plan.first_block
         df = self.tables.get(header.name)
         self.require(header.name, df, ["parent_hash"])
-        number = F.col("parent_number").cast("long") if "parent_number" in df.columns else F.col(header.block).cast("long") - 1
-        limit = self.plan.first_block - 1 if "parent_number" in df.columns else self.plan.first_block
-        own = F.col("parent_number").cast("long") if "parent_number" in df.columns else F.col(header.block).cast("long")
-        refs = df.where(own <= limit).select(number.alias("number"), F.coalesce("parent_hash", F.lit("")).alias("hash")).orderBy(F.desc("number")).limit(100).collect()
-        previous = [(r["number"], r["hash"]) for r in reversed(refs)]
+        own = F.col(header.block).cast("long")
+        above = F.col("parent_number").cast("long") if "parent_number" in df.columns else own - 1
+        refs = df.where(own == first).select(above.alias("number"), F.col("parent_hash").alias("hash"))
+        if "hash" in df.columns:
+            refs = refs.unionByName(df.where(own < first).select(own.alias("number"), "hash"))
+        found = refs.select("number", F.coalesce("hash", F.lit("")).alias("hash")).distinct().orderBy(F.desc("number")).limit(100).collect()
+        previous = [(r["number"], r["hash"]) for r in reversed(found)]
         if not previous or previous[-1][1] != self.plan.parent_hash:
             raise UnexpectedBaseBlock(self.plan.parent_hash, previous)
 

@@ -351,8 +351,10 @@ class Store:
             raise RangeUnavailable(f"blocks below {m.first} aren't stored")
         needed = {s.table for s in plan.scans} | {r.target for s in plan.scans for r in s.relations} | {self.catalog.header.name}
         plan = replace(plan, last_block=last)
-        # The parent check reads the header of the chunk before the range where the range begins a chunk.
-        tables = self.tables(m, plan.first_block, last, sorted(needed))
+        # The check of the parent may need the chunk below the range.
+        below = [c.first for c in m.chunks if c.last < plan.first_block]
+        first = below[-1] if below and plan.parent_hash is not None else plan.first_block
+        tables = self.tables(m, first, last, sorted(needed))
         return Execution(plan, tables, budget)
 
     def stream(self, query: Query, finalized_only: bool = False, budget: int = BUDGET):

@@ -152,6 +152,13 @@ def test_parent_hash(spark):
     with pytest.raises(UnexpectedBaseBlock) as e:
         _run(spark, {"fromBlock": 12, "parentBlockHash": "other"}).json_lines()
     assert e.value.previous[-1] == (11, "h11")
+    tables = Tables({"blocks": _fills(spark).get("blocks").where("number < 13 or number > 15"), "fills": _fills(spark).get("fills")})
+    ask = lambda h: Execution(parse({"type": "hyperliquidFills", "fromBlock": 15, "parentBlockHash": h}).compile(), tables).check_parent()
+    ask("h12")  # 13 to 15 aren't there
+    with pytest.raises(UnexpectedBaseBlock):
+        ask("h14")
+    with pytest.raises(UnexpectedBaseBlock):
+        Execution(parse({"type": "hyperliquidFills", "fromBlock": 3, "parentBlockHash": "h2"}).compile(), tables).check_parent()
 
 
 def test_missing_tables_columns_and_defaults(spark):

@@ -5,7 +5,7 @@ import pytest
 from blockloom.catalog import Catalog, TableDef, camel, snake
 from blockloom.dialects import DIALECTS
 from blockloom.errors import QueryError
-from blockloom.operators.predicates import All, Any_, Bloom, Compare, ContainsAny, Eq, In, discriminator, parse_hex
+from blockloom.operators.predicates import All, Any_, Bloom, ContainsAny, Eq, In, discriminator, parse_hex
 from blockloom.plans.plan import Plan, PlanBuilder, Relation, Scan, simplify
 from blockloom.plans.request import parse
 
