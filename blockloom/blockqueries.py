@@ -376,6 +376,47 @@ def multi_request_budget(spark: SparkSession, root: str) -> DataFrame:
     return run(spark, root, evm, _BODY, budget=_BUDGET).blocks()
 
 
+_LIST_OF_TEXT = "CASE WHEN {x} IS NULL THEN 'null' ELSE '[' || coalesce(array_to_string(list_transform({x}, lambda y: coalesce('\"' || y || '\"', 'null')), ','), '') || ']' END"
+_HL = """WITH h AS (SELECT number, min((lower(trim(hash, ' ')), lower(trim(parent_hash, ' ')))) AS x FROM hl_blocks GROUP BY 1),
+  i AS (SELECT * FROM fills WHERE coin IN ('YO', 'EZ') OR dir = 'Close Short'), w AS (SELECT block_number AS number, count(*) * 288 AS w FROM i GROUP BY 1),
+  p AS (SELECT h.number, 64 + coalesce(w.w, 0) AS w FROM h LEFT JOIN w ON h.number = w.number WHERE w.number IS NOT NULL OR h.number IN (SELECT min(number) FROM h UNION ALL SELECT max(number) FROM h)),
+  r AS (SELECT number, sum(w) OVER (ORDER BY number) AS running FROM p), c AS (SELECT coalesce(max(CASE WHEN running <= 20971520 THEN number END), min(number)) AS last_block FROM r)"""
+
+
+@_query(
+    f"""{_HL}, j AS (SELECT block_number AS number, fill_index AS k, '{{"user":' || {_text('"user"')} || ',"coin":' || {_text("coin")} || ',"side":' || {_text("side")} || ',"time":' || coalesce(CAST(epoch_ms("time") AS VARCHAR), 'null')
+    || ',"dir":' || {_text("dir")} || ',"oid":' || coalesce(CAST(oid AS VARCHAR), 'null') || ',"crossed":' || coalesce(CAST(crossed AS VARCHAR), 'null') || '}}' AS t FROM i),
+  l AS (SELECT number, string_agg(t, ',' ORDER BY k, t) AS a FROM j GROUP BY 1)
+  SELECT r.number, '{{"header":{{"number":' || r.number || ',"hash":"' || h.x[1] || '"}}' || coalesce(',"fills":[' || l.a || ']', '') || '}}' AS json FROM r JOIN h ON r.number = h.number LEFT JOIN l ON l.number = r.number WHERE r.number <= (SELECT last_block FROM c)"""
+)
+def fills_blocks(spark: SparkSession, root: str) -> DataFrame:
+    """Nested records of fills with the standard budget; the first header of a number (by hash) stands for it."""
+    chosen = dict.fromkeys(("user", "coin", "side", "time", "dir", "oid", "crossed"), True)
+    body = {"type": "hyperliquidFills", "fields": {"block": {"number": True, "hash": True}, "fill": chosen}, "fills": [{"coin": ["YO", "EZ"]}, {"dir": ["Close Short"]}]}
+    return run(spark, root, fills, body).blocks()
+
+
+def solana(spark: SparkSession, root: str) -> Tables:
+    transactions = load(spark, root, "sol_transactions").withColumn("account_keys_size", F.lit(0).cast("long")).withColumn("address_table_lookups_size", F.lit(0).cast("long"))
+    return Tables({"blocks": transactions.select(F.col("block_number").alias("number")).distinct(), "transactions": transactions})
+
+
+@_query(
+    """WITH r AS (SELECT block_number AS number, sum(5 * 32 + coalesce(signatures_size, 0)) + 32 AS w FROM sol_transactions GROUP BY 1), u AS (SELECT number, sum(w) OVER (ORDER BY number) AS running FROM r),
+  c AS (SELECT coalesce(max(CASE WHEN running <= 400000 THEN number END), min(number)) AS last_block FROM u)
+  SELECT block_number AS number, '{"header":{"number":' || block_number || '},"transactions":[' || string_agg(t, ',' ORDER BY k, t) || ']}' AS json FROM (
+    SELECT block_number, transaction_index AS k, '{"transactionIndex":' || transaction_index || ',"version":' || CASE version WHEN -1 THEN '"legacy"' ELSE coalesce(CAST(version AS VARCHAR), 'null') END
+    || ',"signatures":' || """
+    + _LIST_OF_TEXT.replace("{x}", "signatures")
+    + """ || ',"err":' || coalesce(err, 'null') || ',"fee":' || coalesce('"' || fee || '"', 'null') || '}' AS t FROM sol_transactions WHERE block_number <= (SELECT last_block FROM c)) GROUP BY 1"""
+)
+def solana_blocks(spark: SparkSession, root: str) -> DataFrame:
+    """Nested records of transactions: stored JSON, big numbers, versions, lists; weights of stored sizes."""
+    chosen = dict.fromkeys(("transactionIndex", "version", "signatures", "err", "fee"), True)
+    body = {"type": "solana", "fields": {"block": {"number": True}, "transaction": chosen}, "transactions": [{}]}
+    return run(spark, root, solana, body, budget=400_000).blocks()
+
+
 # Projections --------------------------------------------------------------------------------------------------------
 
 
