@@ -28,9 +28,13 @@ def quoted(text: Column) -> Column:
     return F.when(text.isNotNull(), F.substring(array, F.lit(2), F.length(array) - 2))
 
 
-def integer_of_time(column: Column, unit: str) -> Column:
-    stamp = column.cast("timestamp")
-    return {"s": F.unix_seconds, "ms": F.unix_millis, "us": F.unix_micros}[unit](stamp)
+def integer_of_time(column: Column, unit: str, kind: T.DataType) -> Column:
+    """Seconds, milli- or microseconds since 1970; times without zone count as UTC, whatever the session's zone."""
+    if not isinstance(kind, T.TimestampNTZType):
+        return {"s": F.unix_seconds, "ms": F.unix_millis, "us": F.unix_micros}[unit](column)
+    seconds = F.unix_date(F.to_date(column)) * F.lit(86_400).cast("long") + F.hour(column) * 3600 + F.minute(column) * 60
+    micros = seconds * 1_000_000 + (F.extract(F.lit("SECOND"), column) * 1_000_000).cast("long")
+    return micros if unit == "us" else F.floor(micros / F.lit({"s": 1_000_000, "ms": 1000}[unit]))
 
 
 def render(column: Column, kind: T.DataType, unit: str = "ms") -> Column:
@@ -43,7 +47,7 @@ def render(column: Column, kind: T.DataType, unit: str = "ms") -> Column:
         finite = ~F.isnan(column) & (F.abs(column) != float("inf"))
         return F.when(finite, column.cast("string")).otherwise(NULL)
     if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
-        return _or_null(integer_of_time(column, unit).cast("string"))
+        return _or_null(integer_of_time(column, unit, kind).cast("string"))
     if isinstance(kind, T.ArrayType):
         items = F.transform(column, lambda x: render(x, kind.elementType, unit))
         return F.when(column.isNotNull(), F.concat(F.lit("["), F.array_join(items, ","), F.lit("]"))).otherwise(NULL)
@@ -124,7 +128,7 @@ class Time(Exp):
 
     def text(self, column: Column, kind: T.DataType) -> Column:
         if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
-            return _or_null(integer_of_time(column, self.unit).cast("string"))
+            return _or_null(integer_of_time(column, self.unit, kind).cast("string"))
         return _or_null(column.cast("string"))
 
 

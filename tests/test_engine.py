@@ -45,6 +45,20 @@ def test_special_expressions(spark):
         exp.BigNum().text(F.col("x"), __import__("pyspark").sql.types.DecimalType(10, 2))
 
 
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York", "Asia/Kolkata"])
+def test_times_dont_depend_on_the_session(spark, zone):
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        df = spark.sql("select timestamp_ntz'2023-03-12 02:30:01.999999' as a, timestamp_ntz'1969-12-31 23:59:59.5' as b, timestamp'2023-01-01 00:00:00Z' as c")
+        shape = exp.Object(tuple((f"{c}{u}", exp.Prop(c, exp.Time(u))) for c in "abc" for u in ("s", "ms", "us")))
+        got = _one(df, shape)[0]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+    assert (got["as"], got["ams"], got["aus"]) == (1678588201, 1678588201999, 1678588201999999)
+    assert (got["bs"], got["bms"], got["bus"]) == (-1, -500, -500000) and (got["cs"], got["cms"]) == (1672531200, 1672531200000)
+
+
 def test_roll(spark):
     df = spark.createDataFrame([("a", "b", ["c", None]), ("a", None, ["c"]), (None, "b", ["c"]), ("a", "b", None), ("a", "b", [])], "x string, y string, r array<string>")
     assert _one(df, exp.Roll(("x", "y", "r"))) == [["a", "b", "c", None], ["a"], [], ["a", "b"], ["a", "b"]]
