@@ -53,17 +53,25 @@ def store_fork_snapshot(spark: SparkSession, root: str) -> DataFrame:
     return kept.unionByName(store.tables(store.snapshot(old.version)).get("logs").select(*_LOGS, F.lit("before").alias("snapshot")))
 
 
+def _append_merged(spark: SparkSession, store: Store, logs: DataFrame, first: int, last: int) -> None:
+    """A range of blocks appended as four chunks or, where it is shorter, as many as it has blocks; then these are merged."""
+    step = max(1, (last + 1 - first) // 4)
+    edges = list(range(first, last + 1, step))[:4]
+    for at, after in zip(edges, [*edges[1:], last + 1]):
+        store.append(_chunk(spark, logs, at, after - 1), f"h{at - 1}")
+    if edges:
+        store.compact(target=1 << 40, amplification=1, horizon=len(edges))  # all of them, however uneven
+
+
 def store_compaction(spark: SparkSession, root: str) -> DataFrame:
-    """Four chunks merged into one and then trimmed to the later half of the blocks: blocks with their number of logs."""
+    """Four chunks of each half of the blocks merged into one, then all trimmed to the later half: blocks with their number of logs."""
     logs, lo, mid, hi = _logs(spark, root)
     store = _store(spark)
-    step = max(1, (mid - lo) // 4)
-    edges = [mid, *(e for e in (mid + step, mid + 2 * step, mid + 3 * step) if mid < e <= hi)]
-    for first, after in zip(edges, [*edges[1:], hi + 1]):
-        store.append(_chunk(spark, logs, first, after - 1), f"h{first - 1}")
-    store.compact(target=1 << 40)
+    for first, last in ((lo, mid - 1), (mid, hi)):
+        _append_merged(spark, store, logs, first, last)
+    store.retain(from_block=mid)
     store.vacuum()
-    return store.tables(first=mid).get("logs").groupBy("block_number").agg(F.count(F.lit(1)).alias("n"), F.lit(len(store.snapshot().chunks)).alias("chunks"))
+    return store.tables().get("logs").groupBy("block_number").agg(F.count(F.lit(1)).alias("n"), F.lit(len(store.snapshot().chunks)).alias("chunks"))
 
 
 def stream_ingest(spark: SparkSession, root: str) -> DataFrame:
