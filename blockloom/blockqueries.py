@@ -24,7 +24,7 @@ from blockloom.plans.request import parse
 from blockloom.session import materialize, shared_folder
 from blockloom.sources.layout import write_table
 from blockloom.sources.store import broken_links
-from blockloom.sources.tables import load
+from blockloom.sources.tables import load, normal
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -506,8 +506,9 @@ def sorted_write_roundtrip(spark: SparkSession, root: str) -> DataFrame:
     SELECT number AS n, hash, parent_hash FROM c WHERE (number > (SELECT min(number) FROM one) AND (pn IS NULL OR pn >= number)) OR (pn IS NOT NULL AND s > 1)"""
 )
 def continuity_check(spark: SparkSession, root: str) -> DataFrame:
-    """Headers that don't link to an earlier one, or share their parent."""
-    return broken_links(fills(spark, root).get("blocks"), "number")
+    """Of all distinct headers those that don't link to an earlier one, or share their parent or their number."""
+    headers = load(spark, root, "hl_blocks").where("number is not null").select("number", normal("hash").alias("hash"), normal("parent_hash").alias("parent_hash")).distinct()
+    return broken_links(headers, "number")
 
 
 @_query("SELECT block_number, transaction_index FROM evm_transactions WHERE hash = (SELECT max(hash) FROM evm_transactions)")

@@ -1,8 +1,10 @@
 """Queries do their whole job: nothing of the tables is cut before it."""
 
+from collections import Counter
+
 from pyspark.sql import functions as F
 
-from blockloom import storequeries
+from blockloom import blockqueries, storequeries
 from blockloom.sources.store import Store
 
 
@@ -23,3 +25,24 @@ def test_compaction_stores_and_trims_the_whole_table(spark, root, monkeypatch):
     assert seen == {"stored": logs.count(), "before": [(lo, mid - 1), (mid, hi)], "after": [(mid, hi)]}
     wanted = logs.where(F.col("block_number") >= mid).groupBy("block_number").count().collect()
     assert got == {r["block_number"]: (r["count"], 1) for r in wanted}
+
+
+def _broken(rows):
+    """The definition spelled out over a list of distinct headers."""
+    number = {}
+    for n, h, _ in rows:
+        number[h] = max(n, number.get(h, n))
+    children, same, first = Counter(p for _, _, p in rows), Counter(n for n, _, _ in rows), min(n for n, _, _ in rows)
+    unlinked = lambda n, p: n > first and not (p in number and number[p] < n)
+    return sorted((n, h, p) for n, h, p in rows if unlinked(n, p) or same[n] > 1 or (p in number and children[p] > 1))
+
+
+def test_continuity_looks_at_every_header(spark, root, tmp_path):
+    rows = [(1, "a", "x"), (2, "b", "a"), (2, "c ", "A"), (2, "C", "a"), (3, "d", "c"), (4, "e", "d"), (5, "f", "gone")]
+    spark.createDataFrame(rows, "number long, hash string, parent_hash string").withColumn("timestamp", F.lit(None).cast("timestamp_ntz")).write.parquet(f"{tmp_path}/hl_blocks.parquet")
+    spark.read.parquet(f"{root}/fills.parquet").limit(0).write.parquet(f"{tmp_path}/fills.parquet")
+    got = sorted(tuple(r) for r in blockqueries.continuity_check(spark, str(tmp_path)).collect())
+    assert got == [(2, "b", "a"), (2, "c", "a"), (5, "f", "gone")]
+    table = spark.read.parquet(f"{root}/hl_blocks.parquet").where("number is not null")
+    every = {(r[0], r[1] and r[1].strip(" ").lower(), r[2] and r[2].strip(" ").lower()) for r in table.select("number", "hash", "parent_hash").collect()}
+    assert sorted(tuple(r) for r in blockqueries.continuity_check(spark, root).collect()) == _broken(every)
