@@ -411,10 +411,10 @@ def solana(spark: SparkSession, root: str) -> Tables:
     + """ || ',"err":' || coalesce(err, 'null') || ',"fee":' || coalesce('"' || fee || '"', 'null') || '}' AS t FROM sol_transactions WHERE block_number <= (SELECT last_block FROM c)) GROUP BY 1"""
 )
 def solana_blocks(spark: SparkSession, root: str) -> DataFrame:
-    """Nested records of transactions: stored JSON, big numbers, versions, lists; weights of stored sizes."""
+    """Nested records of transactions with the standard budget: stored JSON, big numbers, versions, lists; weights of stored sizes."""
     chosen = dict.fromkeys(("transactionIndex", "version", "signatures", "err", "fee"), True)
     body = {"type": "solana", "fields": {"block": {"number": True}, "transaction": chosen}, "transactions": [{}]}
-    return run(spark, root, solana, body, budget=400_000).blocks()
+    return run(spark, root, solana, body).blocks()
 
 
 # Projections --------------------------------------------------------------------------------------------------------

@@ -1,5 +1,6 @@
 """Queries do their whole job: nothing of the tables is cut before it."""
 
+import json
 from collections import Counter
 
 from pyspark.sql import functions as F
@@ -46,3 +47,11 @@ def test_continuity_looks_at_every_header(spark, root, tmp_path):
     table = spark.read.parquet(f"{root}/hl_blocks.parquet").where("number is not null")
     every = {(r[0], r[1] and r[1].strip(" ").lower(), r[2] and r[2].strip(" ").lower()) for r in table.select("number", "hash", "parent_hash").collect()}
     assert sorted(tuple(r) for r in blockqueries.continuity_check(spark, root).collect()) == _broken(every)
+
+
+def test_solana_blocks_have_every_transaction(spark):
+    """All of sf0.1 weighs less than the standard budget."""
+    root = "/root/testdata/sf0.1"
+    got = {r["number"]: len(json.loads(r["json"])["transactions"]) for r in blockqueries.solana_blocks(spark, root).collect()}
+    stored = spark.read.parquet(f"{root}/sol_transactions.parquet").groupBy("block_number").count()
+    assert got == {r["block_number"]: r["count"] for r in stored.collect()}
