@@ -305,6 +305,7 @@ _BODY = {
     "logs": [{"topic0": [SWAP], "transaction": True}, {"topic0": [TRANSFER]}],
     "transactions": [{"sighash": CALLS, "logs": True}],
 }
+#: Small, so that budget_cut cuts; the other queries have the standard budget.
 _BUDGET = 400_000
 #: Of a log: block_number, log_index, transaction_index, address and four topics, each 32; of a transaction: key, hash, sighash, to.
 _WEIGHTS = f"""WITH blocks AS (SELECT DISTINCT block_number AS number FROM (SELECT block_number FROM evm_transactions UNION ALL SELECT block_number FROM evm_logs) WHERE block_number >= 18000000),
@@ -347,13 +348,13 @@ def budget_first_block(spark: SparkSession, root: str) -> DataFrame:
 
 @_query(f"{_WEIGHTS}, c2 AS (SELECT coalesce(max(CASE WHEN r <= {_BUDGET} THEN number END), min(number)) AS k FROM (SELECT number, sum(weight) OVER (ORDER BY number) AS r FROM every)) SELECT number FROM blocks WHERE number <= (SELECT k FROM c2)")
 def include_all_blocks(spark: SparkSession, root: str) -> DataFrame:
-    return run(spark, root, evm, {**_BODY, "includeAllBlocks": True}, budget=_BUDGET).headers().select("number")
+    return run(spark, root, evm, {**_BODY, "includeAllBlocks": True}).headers().select("number")
 
 
 @_query(f"{_WEIGHTS} SELECT number FROM blocks WHERE number IN (SELECT number FROM run WHERE number <= (SELECT last_block FROM cut))")
 def header_boundaries(spark: SparkSession, root: str) -> DataFrame:
     """Headers of blocks with items, and of the range's first and last block."""
-    return run(spark, root, evm, _BODY, budget=_BUDGET).headers().select("number")
+    return run(spark, root, evm, _BODY).headers().select("number")
 
 
 def _text(column: str) -> str:
@@ -372,8 +373,8 @@ _TOPICS = "'[' || CASE WHEN topic0 IS NULL THEN '' ELSE '\"' || topic0 || '\"' |
   FROM run r LEFT JOIN ll ON r.number = ll.number LEFT JOIN tl ON r.number = tl.number WHERE r.number <= (SELECT last_block FROM cut)"""
 )
 def multi_request_budget(spark: SparkSession, root: str) -> DataFrame:
-    """The flagship: several requests with relations, the budget, and one nested record per block."""
-    return run(spark, root, evm, _BODY, budget=_BUDGET).blocks()
+    """The flagship: several requests with relations, the standard budget, and one nested record per block."""
+    return run(spark, root, evm, _BODY).blocks()
 
 
 _LIST_OF_TEXT = "CASE WHEN {x} IS NULL THEN 'null' ELSE '[' || coalesce(array_to_string(list_transform({x}, lambda y: coalesce('\"' || y || '\"', 'null')), ','), '') || ']' END"

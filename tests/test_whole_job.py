@@ -55,3 +55,18 @@ def test_solana_blocks_have_every_transaction(spark):
     got = {r["number"]: len(json.loads(r["json"])["transactions"]) for r in blockqueries.solana_blocks(spark, root).collect()}
     stored = spark.read.parquet(f"{root}/sol_transactions.parquet").groupBy("block_number").count()
     assert got == {r["block_number"]: r["count"] for r in stored.collect()}
+
+
+def test_flagship_and_companions_have_the_standard_budget(spark):
+    """All that the flagship selects of sf0.1 weighs less than the standard budget; budget_cut still cuts."""
+    root = "/root/testdata/sf0.1"
+    e = blockqueries.run(spark, root, blockqueries.evm, blockqueries._BODY)
+    numbers = lambda df: sorted(r["number"] for r in df.select("number").collect())
+    picked = numbers(e.block_weights())
+    got = {r["number"]: json.loads(r["json"]) for r in blockqueries.multi_request_budget(spark, root).collect()}
+    assert sorted(got) == picked
+    for name in ("transactions", "logs"):
+        assert sum(len(x.get(name, [])) for x in got.values()) == e.selected(name).count()
+    assert numbers(blockqueries.header_boundaries(spark, root)) == picked
+    assert numbers(blockqueries.include_all_blocks(spark, root)) == numbers(e.table("blocks"))
+    assert 0 < blockqueries.budget_cut(spark, root).count() < e.selected("logs").count()
