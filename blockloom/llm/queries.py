@@ -141,9 +141,14 @@ def p10_coverage(spark: SparkSession, root: str) -> DataFrame:
     return spans.coverage(load(spark, root, "documents"), "doc_id", "text")
 
 
+def p10_repeats(spark: SparkSession, root: str) -> DataFrame:
+    """The maximal repeats of each document: where they lie and how many documents hold them."""
+    return spans.repeats(load(spark, root, "documents"), "doc_id", "text")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p1_found, p1_top_values, p3_distinct_users, p3_partials, p3_error_check, p7_percentiles, p7_day_percentiles, p7_rank_check, p8_ids, p8_round_trip, p9_containers, p9_fill_check, p10_found, p10_coverage)
+    for f in (p1_found, p1_top_values, p3_distinct_users, p3_partials, p3_error_check, p7_percentiles, p7_day_percentiles, p7_rank_check, p8_ids, p8_round_trip, p9_containers, p9_fill_check, p10_found, p10_coverage, p10_repeats)
 }
 
 _VALUES = " UNION ALL ".join(f"SELECT '{field}' AS field, lower(trim(\"{field}\", ' ')) AS value FROM {table}" for field, table in _COLUMNS.items())
@@ -155,6 +160,10 @@ _SPANS = """WITH g AS (SELECT doc_id, text, unnest(range(1, length(text) - 198))
 
 SQL: dict[str, str] = {
     "p10_found": f"{_SPANS}, u AS (SELECT DISTINCT doc_id, h FROM k) SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM u a JOIN u b ON a.h = b.h AND a.doc_id < b.doc_id",
+    "p10_repeats": f"""{_SPANS}, s AS (SELECT h, count(*) AS n, bit_xor(hash(doc_id)) AS x FROM (SELECT DISTINCT doc_id, h FROM k) GROUP BY h HAVING count(*) > 1),
+        c AS (SELECT k.doc_id, i, n, CASE WHEN lag(i) OVER w = i - 1 AND lag(n) OVER w = n AND lag(x) OVER w = x THEN 0 ELSE 1 END AS new FROM k JOIN s ON k.h = s.h WINDOW w AS (PARTITION BY k.doc_id ORDER BY i)),
+        r AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS no FROM c)
+        SELECT doc_id, CAST(min(i) - 1 AS INTEGER) AS start, CAST(max(i) + 199 AS INTEGER) AS "end", n AS n_docs FROM r GROUP BY doc_id, no, n""",
     "p10_coverage": f"""{_SPANS}, s AS (SELECT h FROM k GROUP BY h HAVING min(doc_id) < max(doc_id)), c AS (SELECT doc_id, i, i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS step FROM k WHERE h IN (SELECT h FROM s)),
         n AS (SELECT doc_id, i, sum(CASE WHEN step <= 200 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS no FROM c), m AS (SELECT doc_id, max(i) - min(i) + 200 AS size FROM n GROUP BY doc_id, no),
         t AS (SELECT doc_id, sum(size) AS shared_chars, count(*) AS n_spans, max(size) AS longest FROM m GROUP BY doc_id)
