@@ -140,7 +140,7 @@ def distinct_texts(df: DataFrame, id_column: str, text_column: str, length: int
     keyed = rows.withColumn("_key", F.concat(F.md5("text"), F.length("text").cast("string")))
     classes = keyed.groupBy("_key").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("text").alias("text"))
     stored, _ = materialize(classes)
-    members = keyed.select("id", "_key").join(stored.select("_key", "rep"), "_key").select("id", "rep")
+    members, _ = materialize(keyed.select("id", "_key").join(stored.select("_key", "rep"), "_key").select("id", "rep"))
     return stored.drop("_key"), members
 
 
@@ -205,8 +205,9 @@ def shared_spans(texts: DataFrame, length: int = LENGTH, window: int = WINDOW) -
     [at - l, at + r) for each of ``ats``. Every span of the least length that two texts share lies within one of a class of both."""
     k, reach = length - window + 1, window - 1
     found, _ = materialize(_anchored(texts, length, window))
-    shared = found.groupBy("anchor").agg(F.min("rep").alias("_lo"), F.max("rep").alias("_hi")).where("_lo < _hi").select("anchor")
-    seeds = found.join(shared, "anchor").groupBy("rep").agg(F.collect_list("ats").alias("seeds"))
+    # Written, so that their sizes are known when they are joined: where they are small, neither anchors nor texts are shuffled.
+    shared, _ = materialize(found.groupBy("anchor").agg(F.min("rep").alias("_lo"), F.max("rep").alias("_hi")).where("_lo < _hi").select("anchor"))
+    seeds, _ = materialize(found.join(shared, "anchor").groupBy("rep").agg(F.collect_list("ats").alias("seeds")))
     contexts, _ = materialize(_contexts(texts.join(seeds, "rep"), k, reach))
     first, _ = materialize(_extended(contexts, reach))
     enough = F.col("l") + F.col("r") >= reach
