@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from blockloom.session import materialize
+from blockloom.session import drop, materialize
 
 LENGTH, WINDOW = 200, 51
 #: Code points hashed at a time; longer texts are cut into overlapping pieces with the same result.
@@ -204,12 +204,16 @@ def shared_spans(texts: DataFrame, length: int = LENGTH, window: int = WINDOW) -
     """class, rep, copies, start, end, ats: classes of texts that hold the same span of at least ``length``; the span lies at
     [at - l, at + r) for each of ``ats``. Every span of the least length that two texts share lies within one of a class of both."""
     k, reach = length - window + 1, window - 1
-    found, _ = materialize(_anchored(texts, length, window))
+    spark = texts.sparkSession
+    found, found_path = materialize(_anchored(texts, length, window))
     # Written, so that their sizes are known when they are joined: where they are small, neither anchors nor texts are shuffled.
-    shared, _ = materialize(found.groupBy("anchor").agg(F.min("rep").alias("_lo"), F.max("rep").alias("_hi")).where("_lo < _hi").select("anchor"))
-    seeds, _ = materialize(found.join(shared, "anchor").groupBy("rep").agg(F.collect_list("ats").alias("seeds")))
-    contexts, _ = materialize(_contexts(texts.join(seeds, "rep"), k, reach))
+    shared, shared_path = materialize(found.groupBy("anchor").agg(F.min("rep").alias("_lo"), F.max("rep").alias("_hi")).where("_lo < _hi").select("anchor"))
+    seeds, seeds_path = materialize(found.join(shared, "anchor").groupBy("rep").agg(F.collect_list("ats").alias("seeds")))
+    contexts, contexts_path = materialize(_contexts(texts.join(seeds, "rep"), k, reach))
+    for path in (found_path, shared_path, seeds_path):
+        drop(spark, path)
     first, _ = materialize(_extended(contexts, reach))
+    drop(spark, contexts_path)
     enough = F.col("l") + F.col("r") >= reach
     # What goes on alike beyond the common part differs from it in the next character on one side. Two rows have nothing beyond.
     more = first.where("rows > 2")
