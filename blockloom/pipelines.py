@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
+from collections.abc import Callable, Sequence
 
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,11 +71,20 @@ def p5_features(spark: SparkSession, root: str) -> DataFrame:
 def p5_entries(spark: SparkSession, root: str) -> DataFrame:
     """The same in rows (user, kind): the sparse vectors' entries with their type names."""
     fills = load(spark, root, "fills")
-    kind = features.type_name("dir")
-    rows = features.events(fills, normal("user"), kind, F.col("time"), F.col("closed_pnl"), _FILL_EVENT)
-    types = features.type_list(fills, kind)
-    names = F.array(*[F.lit(t) for t in types])
-    return features.entries(rows, types).select(F.col("entity").alias("user"), F.element_at(names, F.col("type_no") + 1).alias("kind"), "n", F.round("total", 6).alias("total"), "last")
+    rows = features.events(fills, normal("user"), features.type_name("dir"), F.col("time"), F.col("closed_pnl"), _FILL_EVENT)
+    return features.entries_by_name(rows).select(F.col("entity").alias("user"), "kind", "n", F.round("total", 6).alias("total"), "last")
+
+
+#: Types for a table of fixed columns, as partial tables of different days need it; ``withdraw`` doesn't occur.
+KINDS = ("buy", "close long", "close short", "none", "open long", "open short", "sell", "withdraw")
+
+
+def p5_chosen(spark: SparkSession, root: str) -> DataFrame:
+    """One row per user with columns for a fixed list of kinds, merged from the entries of two parts of the table's days; other kinds are left out."""
+    fills = load(spark, root, "fills").select(*_FILL_EVENT, "user", "dir", "time", "closed_pnl").distinct()
+    odd = F.coalesce(F.pmod(F.unix_date(F.to_date("time")), F.lit(2)), F.lit(0)) == 1
+    parts = [features.entries(features.events(df, normal("user"), features.type_name("dir"), F.col("time"), F.col("closed_pnl"), _FILL_EVENT), KINDS) for df in (fills.where(odd), fills.where(~odd))]
+    return features.expand(features.vectors(features.merge(parts[0].unionByName(parts[1]))), KINDS).withColumnRenamed("entity", "user")
 
 
 def p6_found(spark: SparkSession, root: str) -> DataFrame:
@@ -94,7 +105,7 @@ def p6_descendants(spark: SparkSession, root: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p2_found, p2_lookup_indexes, p4_found, p4_transactions, p4_fills, p5_features, p5_entries, p6_found, p6_hierarchy, p6_descendants)
+    f.__name__: f for f in (p2_found, p2_lookup_indexes, p4_found, p4_transactions, p4_fills, p5_features, p5_entries, p5_chosen, p6_found, p6_hierarchy, p6_descendants)
 }
 
 _T = "WITH t AS (SELECT DISTINCT block_number, transaction_index, signatures AS s, address_table_lookups AS l, loaded_addresses AS a FROM sol_transactions)"
@@ -120,6 +131,25 @@ _EVENTS = """SELECT DISTINCT block_number, fill_index, lower(trim("user", ' '))
     CASE WHEN coalesce(trim(regexp_replace(dir, '[\\s_\\-]+', ' ', 'g'), ' '), '') = '' THEN 'none' ELSE lower(trim(regexp_replace(dir, '[\\s_\\-]+', ' ', 'g'), ' ')) END AS kind,
     "time", CASE WHEN isnan(closed_pnl) THEN NULL ELSE closed_pnl END AS v FROM fills WHERE coalesce(trim("user", ' '), '') <> ''"""
 _ENTRIES = f'SELECT "user", kind, count(*) AS n, round(sum(v), 6) AS total, max("time") AS "last" FROM ({_EVENTS}) GROUP BY 1, 2'
+
+
+def _wide(kinds: Sequence[str], only: bool = False) -> str:
+    """One row per user and three columns per kind; ``only``: users with an event of one of them."""
+    quoted = lambda k: "'" + k.replace("'", "''") + "'"
+    columns = ", ".join(f"""coalesce(max(n) FILTER (kind = {quoted(k)}), 0) AS "{k}_n", max(total) FILTER (kind = {quoted(k)}) AS "{k}_total", max("last") FILTER (kind = {quoted(k)}) AS "{k}_last\"""" for k in kinds)
+    return f"""SELECT "user", {columns} FROM ({_ENTRIES}) {"WHERE kind IN (" + ", ".join(map(quoted, kinds)) + ")" if only else ""} GROUP BY 1"""
+
+
+def features_sql(root: str) -> str | None:
+    """The SQL of p5_features over a directory: its columns are the kinds that occur there. None where it isn't there."""
+    try:
+        spellings = pq.read_table(f"{root}/fills.parquet", columns=["dir", "user"])
+    except OSError:
+        return None
+    known = {d for d, u in zip(*(c.to_pylist() for c in spellings.columns)) if u is not None and u.strip(" ")}
+    return _wide(sorted({re.sub(r"[\s_\-]+", " ", d or "").strip(" ").lower() or "none" for d in known}))
+
+
 _WALK = """WITH RECURSIVE h AS (SELECT lower(trim(hash, ' ')) AS id, min(CASE WHEN lower(trim(parent_hash, ' ')) IN ('', '0x') THEN NULL ELSE lower(trim(parent_hash, ' ')) END) AS p
     FROM hl_blocks WHERE lower(trim(hash, ' ')) NOT IN ('', '0x') GROUP BY 1),
   links AS (SELECT c.id, c.p FROM h c JOIN h q ON c.p = q.id),
@@ -152,7 +182,7 @@ SQL: dict[str, str] = {
     "p2_found": f"{_T} {_P2}",
     "p2_lookup_indexes": f"""{_T}, f AS ({_P2}) SELECT c.block_number, c.transaction_index, c.parent_pos, c.pos, c.child = 'lookup_writable' AS writable, p.value AS account_key, CAST(c.value AS INTEGER) AS "index"
         FROM f c JOIN f p ON p.child = 'lookup' AND c.child IN ('lookup_readonly', 'lookup_writable') AND p.block_number = c.block_number AND p.transaction_index = c.transaction_index AND p.pos = c.parent_pos""",
-    "p5_features": f'PIVOT ({_ENTRIES}) ON kind USING coalesce(first(n), 0) AS n, first(total) AS total, first("last") AS "last" GROUP BY "user"',
+    "p5_chosen": _wide(KINDS, only=True),
     "p5_entries": _ENTRIES,
     "p6_found": f"""{_WALK} SELECT id AS hash, cycle_hash, (SELECT count(*) FROM above x WHERE x.id = c.id AND x.a NOT IN (SELECT id FROM rings)) + CASE WHEN c.id IN (SELECT id FROM rings) THEN 0 ELSE 1 END AS hops FROM caught c""",
     "p6_descendants": f"""{_WALK}, free AS (SELECT * FROM above WHERE id NOT IN (SELECT id FROM caught)), depths AS (SELECT id, count(*) AS d FROM free GROUP BY 1)

@@ -49,6 +49,27 @@ def test_partial_entries_merge(spark):
     assert _table(df.limit(0), types=["a"]).columns == ["entity", "a_n", "a_total", "a_last"] and _table(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("width", [1, 3, 40])
+def test_types_outside_the_list_are_left_out(spark, width):
+    """Any number of unknown types, whatever the length of the list; the list's order and repeats don't matter."""
+    rows = [(i, 0, f"u{i % 7}", f"t{i % 60}", T0 + dt.timedelta(minutes=i), float(i)) for i in range(1000)] + [(2000, 0, "other", "t59", T0, 1.0)]
+    df = spark.createDataFrame(rows, "b long, i int, user string, dir string, time timestamp_ntz, pnl double").repartition(5)
+    types = [f"t{j}" for j in reversed(range(width))] + ["never", "t0"]
+    got = {r["entity"]: r.asDict() for r in _table(df, key=["b", "i"], types=types).collect()}
+    assert set(got) == {r[2] for r in rows if r[3] in types} and "other" not in got
+    for u, row in got.items():
+        for t in types:
+            own = [r for r in rows if r[2] == u and r[3] == t]
+            assert (row[f"{t}_n"], row[f"{t}_total"], row[f"{t}_last"]) == (len(own), sum(r[5] for r in own) if own else None, max((r[4] for r in own), default=None))
+
+
+def test_number_of_types_is_bounded_by_an_error(spark):
+    df = spark.createDataFrame([(i, 0, "u", f"t{i}", T0, 1.0) for i in range(12)], "b long, i int, user string, dir string, time timestamp_ntz, pnl double")
+    with pytest.raises(ValueError):
+        _table(df, most=11)
+    assert len(_table(df, most=12).columns) == 37
+
+
 def _brute(links):
     out = {}
     for x in links:
