@@ -13,9 +13,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blockloom.catalog import Catalog, TableDef
+from blockloom.catalog import Catalog, TableDef, camel
 from blockloom.dialects import evm as evm_dialect
-from blockloom.functions import base58, bloom, exp
+from blockloom.functions import base58, bloom, derive, exp
 from blockloom.operators import relations as rel
 from blockloom.operators.predicates import All, Any_, Bloom, Compare, ContainsAny, Eq, In, discriminator
 from blockloom.plans.execute import Execution, Tables
@@ -357,6 +357,17 @@ def header_boundaries(spark: SparkSession, root: str) -> DataFrame:
     return run(spark, root, evm, _BODY).headers().select("number")
 
 
+def _float(x: str) -> str:
+    """SQL of a float's text: plain for decimal exponents from -5 to 9, else digits, e and the exponent."""
+    t = f"CAST(abs({x}) AS VARCHAR)"
+    m, e = f"split_part({t}, 'e', 1)", f"CAST(split_part({t}, 'e', 2) AS INTEGER)"
+    i, d = f"split_part({t}, '.', 1)", f"rtrim(replace({t}, '.', ''), '0')"
+    beyond = f"(CASE WHEN contains({m}, '.') THEN {m} ELSE {m} || '.0' END) || 'e' || {e}"
+    small = f"CASE WHEN {e} = -5 THEN '0.0000' || replace({m}, '.', '') ELSE {beyond} END"
+    large = f"left({d}, 1) || '.' || CASE WHEN length({d}) > 1 THEN substr({d}, 2) ELSE '0' END || 'e' || (length({i}) - 1)"
+    return f"CASE WHEN {x} IS NULL OR isnan({x}) OR isinf({x}) THEN 'null' ELSE (CASE WHEN CAST({x} AS VARCHAR) LIKE '-%' THEN '-' ELSE '' END) || (CASE WHEN contains({t}, 'e') THEN {small} WHEN abs({x}) >= 1e10 THEN {large} ELSE {t} END) END"
+
+
 def _text(column: str) -> str:
     return f"coalesce('\"' || {column} || '\"', 'null')"
 
@@ -379,20 +390,28 @@ def multi_request_budget(spark: SparkSession, root: str) -> DataFrame:
 
 _LIST_OF_TEXT = "CASE WHEN {x} IS NULL THEN 'null' ELSE '[' || coalesce(array_to_string(list_transform({x}, lambda y: coalesce('\"' || y || '\"', 'null')), ','), '') || ']' END"
 _HL = """WITH h AS (SELECT number, min((lower(trim(hash, ' ')), lower(trim(parent_hash, ' ')))) AS x FROM hl_blocks GROUP BY 1),
-  i AS (SELECT * FROM fills WHERE coin IN ('YO', 'EZ') OR dir = 'Close Short'), w AS (SELECT block_number AS number, count(*) * 288 AS w FROM i GROUP BY 1),
+  i AS (SELECT * FROM fills WHERE coin IN ('YO', 'EZ') OR dir = 'Close Short'), w AS (SELECT block_number AS number, count(*) * 672 AS w FROM i GROUP BY 1),
   p AS (SELECT h.number, 64 + coalesce(w.w, 0) AS w FROM h LEFT JOIN w ON h.number = w.number WHERE w.number IS NOT NULL OR h.number IN (SELECT min(number) FROM h UNION ALL SELECT max(number) FROM h)),
   r AS (SELECT number, sum(w) OVER (ORDER BY number) AS running FROM p), c AS (SELECT coalesce(max(CASE WHEN running <= 20971520 THEN number END), min(number)) AS last_block FROM r)"""
 
 
+_FILL_FIELDS = [
+    ("fill_index", "CAST(fill_index AS VARCHAR)"), ("user", _text('"user"')), ("coin", _text("coin")), ("px", _float("px")), ("sz", _float("sz")), ("side", _text("side")),
+    ("time", "CAST(epoch_ms(\"time\") AS VARCHAR)"), ("start_position", _float("start_position")), ("dir", _text("dir")), ("closed_pnl", _float("closed_pnl")), ("hash", _text("hash")),
+    ("oid", "CAST(oid AS VARCHAR)"), ("crossed", "CAST(crossed AS VARCHAR)"), ("fee", _float("fee")), ("builder_fee", _float("builder_fee")), ("tid", "CAST(tid AS VARCHAR)"), ("cloid", _text("cloid")),
+    ("fee_token", _text("fee_token")), ("builder", _text("builder")), ("twap_id", "CAST(twap_id AS VARCHAR)"),
+]
+_FILL_JSON = " || ".join(f"""'{"," if i else "{{"}"{camel(name)}":' || coalesce({text}, 'null')""" for i, (name, text) in enumerate(_FILL_FIELDS)).replace("{{", "{") + " || '}'"
+
+
 @_query(
-    f"""{_HL}, j AS (SELECT block_number AS number, fill_index AS k, '{{"user":' || {_text('"user"')} || ',"coin":' || {_text("coin")} || ',"side":' || {_text("side")} || ',"time":' || coalesce(CAST(epoch_ms("time") AS VARCHAR), 'null')
-    || ',"dir":' || {_text("dir")} || ',"oid":' || coalesce(CAST(oid AS VARCHAR), 'null') || ',"crossed":' || coalesce(CAST(crossed AS VARCHAR), 'null') || '}}' AS t FROM i),
+    f"""{_HL}, j AS (SELECT block_number AS number, fill_index AS k, {_FILL_JSON} AS t FROM i),
   l AS (SELECT number, string_agg(t, ',' ORDER BY k, t) AS a FROM j GROUP BY 1)
   SELECT r.number, '{{"header":{{"number":' || r.number || ',"hash":"' || h.x[1] || '"}}' || coalesce(',"fills":[' || l.a || ']', '') || '}}' AS json FROM r JOIN h ON r.number = h.number LEFT JOIN l ON l.number = r.number WHERE r.number <= (SELECT last_block FROM c)"""
 )
 def fills_blocks(spark: SparkSession, root: str) -> DataFrame:
-    """Nested records of fills with the standard budget; the first header of a number (by hash) stands for it."""
-    chosen = dict.fromkeys(("user", "coin", "side", "time", "dir", "oid", "crossed"), True)
+    """Nested records of fills, all fields, with the standard budget; the first header of a number (by hash) stands for it."""
+    chosen = {camel(name): True for name, _ in _FILL_FIELDS}
     body = {"type": "hyperliquidFills", "fields": {"block": {"number": True, "hash": True}, "fill": chosen}, "fills": [{"coin": ["YO", "EZ"]}, {"dir": ["Close Short"]}]}
     return run(spark, root, fills, body).blocks()
 
@@ -474,21 +493,40 @@ def nested_values(spark: SparkSession, root: str) -> DataFrame:
     return df.select("block_number", "transaction_index", _column(df, "account_keys", v).alias("keys"), _column(df, "address_table_lookups", v).alias("lookups"), _column(df, "loaded_addresses", v).alias("loaded"))
 
 
-@_query("SELECT block_number, fill_index, CASE WHEN closed_pnl IS NULL OR isnan(closed_pnl) THEN 'null' ELSE 'number' END AS pnl FROM fills")
+_DOUBLES = ("px", "sz", "start_position", "closed_pnl", "fee", "builder_fee")
+
+
+@_query(f"SELECT block_number, fill_index, {', '.join(f'{_float(c)} AS {c}' for c in _DOUBLES)} FROM fills")
+def float_values(spark: SparkSession, root: str) -> DataFrame:
+    """The text of every double of the table, large and small ones, not-a-number as null."""
+    df = load(spark, root, "fills")
+    return df.select("block_number", "fill_index", *[_column(df, c, exp.Value()).alias(c) for c in _DOUBLES])
+
+
+@_query(f"SELECT block_number, fill_index, {_float('closed_pnl')} AS pnl FROM fills")
 def not_a_number_is_null(spark: SparkSession, root: str) -> DataFrame:
     df = load(spark, root, "fills")
-    text = _column(df, "closed_pnl", exp.Value())
-    return df.select("block_number", "fill_index", F.when(text == "null", text).otherwise("number").alias("pnl"))
+    return df.select("block_number", "fill_index", _column(df, "closed_pnl", exp.Value()).alias("pnl"))
 
 
 # Derived columns, storage and chain checks ----------------------------------------------------------------------
 
 
-@_query("SELECT block_number, transaction_index, CASE WHEN length(input) >= 10 THEN substr(input, 1, 10) END AS sighash, length(input) AS input_size FROM evm_transactions")
+@_query("SELECT block_number, transaction_index, CASE WHEN length(input) >= 10 THEN substr(input, 1, 10) END AS sighash, coalesce(strlen(input), 0) AS input_size FROM evm_transactions")
 def derived_columns(spark: SparkSession, root: str) -> DataFrame:
-    """What a writer computes: the call's signature hash and the size of a payload."""
-    df = load(spark, root, "evm_transactions")
-    return df.select("block_number", "transaction_index", F.when(F.length("input") >= 10, F.substring("input", 1, 10)).alias("sighash"), F.length("input").cast("long").alias("input_size"))
+    """What a writer computes of a transaction: the call's signature hash and the size of a payload."""
+    df = load(spark, root, "evm_transactions").drop("sighash", "input_size")
+    return derive.evm_transactions(df).select("block_number", "transaction_index", "sighash", "input_size")
+
+
+@_query(
+    """WITH t AS (SELECT *, loaded_addresses.readonly AS r, loaded_addresses.writable AS w FROM sol_transactions) SELECT block_number, transaction_index, 44 * coalesce(len(account_keys), 0) AS account_keys_size,
+    CAST(coalesce(list_sum(list_transform(signatures, lambda x: coalesce(strlen(x), 0))), 0) AS BIGINT) AS signatures_size, 44 * (coalesce(len(r), 0) + coalesce(len(w), 0)) AS loaded_addresses_size FROM t"""
+)
+def derived_sizes(spark: SparkSession, root: str) -> DataFrame:
+    """Sizes of a transaction's nested lists, computed anew: 44 bytes an account, the bytes of the signatures."""
+    df = load(spark, root, "sol_transactions").drop("signatures_size", "loaded_addresses_size")
+    return derive.solana_transactions(df).select("block_number", "transaction_index", "account_keys_size", "signatures_size", "loaded_addresses_size")
 
 
 @_query("SELECT block_number, log_index, topic0, address, CAST(row_number() OVER (ORDER BY topic0 NULLS LAST, address NULLS LAST, block_number, log_index) - 1 AS INTEGER) AS _idx FROM (SELECT DISTINCT block_number, log_index, topic0, address FROM evm_logs)")
@@ -512,23 +550,6 @@ def continuity_check(spark: SparkSession, root: str) -> DataFrame:
     return broken_links(headers, "number")
 
 
-@_query("SELECT block_number, transaction_index FROM evm_transactions WHERE hash = (SELECT max(hash) FROM evm_transactions)")
-def transaction_by_hash(spark: SparkSession, root: str) -> DataFrame:
-    df = load(spark, root, "evm_transactions")
-    wanted = df.agg(F.max("hash").alias("hash"))
-    return df.join(F.broadcast(wanted), "hash", "left_semi").select("block_number", "transaction_index")
-
-
-@_query(
-    """SELECT block_number, count(*) AS n FROM (SELECT block_number FROM fills WHERE block_number < 700000400 UNION ALL SELECT block_number FROM fills WHERE block_number >= 700000600) GROUP BY 1"""
-)
-def fork_replace_union(spark: SparkSession, root: str) -> DataFrame:
-    """What a snapshot holds after blocks 700000400 to 700000599 were replaced by a chunk without fills: a union of chunks."""
-    df = load(spark, root, "fills").select("block_number")
-    parts = [df.where("block_number < 700000400"), df.where("block_number >= 700000400 and block_number < 700000600").limit(0), df.where("block_number >= 700000600")]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("block_number").agg(F.count(F.lit(1)).alias("n"))
-
-
 STAR = Catalog([TableDef("orders", ("o_orderkey",), children={"lineitem": ("l_orderkey",)}), TableDef("lineitem", ("l_orderkey", "l_linenumber"))])
 
 

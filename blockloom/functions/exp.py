@@ -23,9 +23,32 @@ def _or_null(text: Column) -> Column:
 
 
 def quoted(text: Column) -> Column:
-    """A JSON string."""
+    """A JSON string; control characters without a short form as \\u00 and two hex digits in lower case."""
     array = F.to_json(F.array(text))
-    return F.when(text.isNotNull(), F.substring(array, F.lit(2), F.length(array) - 2))
+    low = array
+    for digit in "ABCDEF":  # after an even number of backslashes, so that the text of an escape stays as it is
+        low = F.regexp_replace(low, rf"(?<!\\)((?:\\\\)*)\\u00([01]){digit}", rf"$1\\u00$2{digit.lower()}")
+    exact = F.when(text.rlike(r"[\x0B\x0E\x0F\x1A-\x1F]"), low).otherwise(array)
+    return F.when(text.isNotNull(), F.substring(exact, F.lit(2), F.length(exact) - 2))
+
+
+#: The decimal exponents between which a float is written plainly.
+PLAIN = (-5, 9)
+
+
+def float_text(column: Column) -> Column:
+    """A finite float: the shortest digits that give it back, plainly for exponents in ``PLAIN`` and as ``d.de-7`` beyond."""
+    text = column.cast("string")
+    sign = F.when(text.startswith("-"), "-").otherwise("")
+    mantissa = F.ltrim(F.substring_index(text, "E", 1), F.lit("-"))
+    exponent = F.substring_index(text, "E", -1).cast("int")
+    digits = F.replace(mantissa, F.lit("."), F.lit(""))
+    filled = F.rpad(digits, F.greatest(F.length(digits), exponent + 2), F.lit("0"))
+    large = F.concat(F.substring(filled, F.lit(1), exponent + 1), F.lit("."), F.substring(filled, exponent + 2, F.length(filled)))
+    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -exponent - 1), F.rtrim(digits, F.lit("0")))
+    far = F.concat(mantissa, F.lit("e"), exponent.cast("string"))
+    moved = F.when(~exponent.between(*PLAIN), far).when(exponent < 0, small).otherwise(large)
+    return F.when(text.contains("E"), F.concat(sign, moved)).otherwise(text)
 
 
 def integer_of_time(column: Column, unit: str, kind: T.DataType) -> Column:
@@ -45,7 +68,7 @@ def render(column: Column, kind: T.DataType, unit: str = "ms") -> Column:
         return F.when(column.isNotNull(), F.concat(F.lit('"0x'), F.lower(F.hex(column)), F.lit('"'))).otherwise(NULL)
     if isinstance(kind, (T.FloatType, T.DoubleType)):
         finite = ~F.isnan(column) & (F.abs(column) != float("inf"))
-        return F.when(finite, column.cast("string")).otherwise(NULL)
+        return F.when(finite, float_text(column)).otherwise(NULL)
     if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
         return _or_null(integer_of_time(column, unit, kind).cast("string"))
     if isinstance(kind, T.ArrayType):

@@ -7,7 +7,7 @@ before any file is opened.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator, Mapping
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -94,15 +94,35 @@ class Archive:
         return Tables(frames)
 
 
-def write_table(df: DataFrame, path: str, sort_key: list[str], index: bool = False, partitions: int | None = None) -> None:
+def write_table(
+    df: DataFrame,
+    path: str,
+    sort_key: list[str],
+    index: bool = False,
+    partitions: int | None = None,
+    group_rows: int | None = None,
+    plain: Sequence[str] = (),
+    bloom: Sequence[str] = (),
+    level: int | None = None,
+) -> None:
     """Parquet with zstd, sorted by the key with nulls last: range-partitioned first, so files are disjoint in the key
-    and its statistics prune; ``index`` adds the row's position in that order."""
+    and its statistics prune; ``index`` adds the row's position in that order.
+
+    ``group_rows``: the most rows of a row group, so that statistics prune inside files too. ``plain``: columns without a dictionary;
+    ``bloom``: columns with a Bloom filter. ``level``: of compression."""
     if sort_key:
         order = [F.col(c).asc_nulls_last() for c in sort_key]
         df = df.repartitionByRange(*([partitions] if partitions else []), *order).sortWithinPartitions(*order)
         if index:
             df = _positions(df, order)
-    df.write.option("compression", "zstd").parquet(path)
+    options = {"compression": "zstd"}
+    if group_rows is not None:
+        options |= {"parquet.block.row.count.limit": str(group_rows), "parquet.page.size.row.check.min": str(min(group_rows, 100))}
+    if level is not None:
+        options["parquet.compression.codec.zstd.level"] = str(level)
+    options |= {f"parquet.enable.dictionary#{c}": "false" for c in plain}
+    options |= {f"parquet.bloom.filter.enabled#{c}": "true" for c in bloom}
+    df.write.options(**options).parquet(path)
 
 
 def _positions(df: DataFrame, order: list[Column]) -> DataFrame:

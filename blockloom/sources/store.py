@@ -14,7 +14,6 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -143,6 +142,9 @@ def reset(m: Manifest) -> Manifest:
     return replace(m, chunks=(), finalized=None)
 
 
+#: The side table of hashes that every chunk has.
+HASHES = "_hashes"
+
 #: Integer types from narrow to wide; schemas merge by widening only.
 WIDTHS = ["tinyint", "smallint", "int", "bigint"]
 
@@ -170,7 +172,11 @@ def _fits_behind(before: StoredChunk, c: StoredChunk) -> bool:
     return all(merged_schema(parsed(before.schemas[t]), parsed(c.schemas[t])) is not None for t in c.schemas if t in before.schemas)
 
 
-def compaction(m: Manifest, target: int = 200_000, amplification: float = 1.9, most: int = 50, horizon: int = 500) -> tuple[int, int] | None:
+#: Rows that end a chunk's growth, the least gain of a merge, chunks of a merge, chunks looked at.
+TARGET, AMPLIFICATION, MOST, HORIZON = 200_000, 1.9, 50, 500
+
+
+def compaction(m: Manifest, target: int = TARGET, amplification: float = AMPLIFICATION, most: int = MOST, horizon: int = HORIZON) -> tuple[int, int] | None:
     """The chunks [i, j) to merge next, or None.
 
     Chunks that could be one form runs; a chunk of ``target`` rows ends its run. A run that can't grow any more is merged piece by
@@ -202,6 +208,11 @@ def compaction(m: Manifest, target: int = 200_000, amplification: float = 1.9, m
     return None
 
 
+def _settled(m: Manifest, final: BlockRef | None, keep: int | None) -> Manifest:
+    m = finalize(m, final) if final is not None else m
+    return retain(m, keep=keep) if keep is not None else m
+
+
 class Store:
     """A dataset on disk. All changes go through ``commit``."""
 
@@ -240,6 +251,11 @@ class Store:
         place = f"data/{uuid.uuid4().hex}"
         paths = {name: f"{place}/{name}.parquet" for name in tables}
 
+        def write_hashes() -> None:
+            hashes = self._hashes(tables)
+            path = f"{self.files.root}/{place}/{HASHES}.parquet"
+            write_table(hashes, path, ["hash"], bloom=["hash"])
+
         def write(name: str) -> int:
             path = f"{self.files.root}/{paths[name]}"
             write_table(tables[name], path, [c for c in self.sort_keys.get(name, []) if c in tables[name].columns])
@@ -250,24 +266,52 @@ class Store:
             return listed.agg(F.min("n").alias("first"), F.max("n").alias("last"), F.min_by("parent_hash", "n").alias("parent"), F.max_by("hash", "n").alias("hash")).first()
 
         # Independent jobs; nothing counts before the commit, so the checks may run beside the writes.
-        with ThreadPoolExecutor(len(tables) + 2) as pool:
+        with ThreadPoolExecutor(len(tables) + 3) as pool:
             checks, broken = pool.submit(ends), pool.submit(lambda: not broken_links(header, number).isEmpty())
+            index = pool.submit(write_hashes)
             counts = {name: pool.submit(write, name) for name in tables}
             found, rows = checks.result(), max(c.result() for c in counts.values())
             unlinked = broken.result()
+            index.result()
         if found["first"] is None or found["parent"] != parent_hash or unlinked:
             self.files.delete(place)
             raise StoreConflict("a chunk needs a block" if found["first"] is None else "the chunk's blocks don't link")
         schemas = {name: df.schema.json() for name, df in tables.items()}
         return StoredChunk(found["first"], found["last"], found["hash"], parent_hash, paths, rows, schemas)
 
-    def append(self, tables: Mapping[str, DataFrame], parent_hash: str) -> Manifest:
+    def _hashes(self, tables: Mapping[str, DataFrame]) -> DataFrame:
+        """kind, hash, n, i: where a chunk's blocks and transactions are. Written with every chunk, sorted by hash and with a filter, so that a
+        lookup opens no more than the few row groups that may hold the hash."""
+        header = self.catalog.header
+        out = tables[header.name].select(F.lit("block").alias("kind"), "hash", F.col(header.block).cast("long").alias("n"), F.lit(None).cast("long").alias("i"))
+        t = tables.get("transactions")
+        if t is not None and {"hash", "block_number", "transaction_index"} <= set(t.columns):
+            out = out.unionByName(t.select(F.lit("transaction").alias("kind"), "hash", F.col("block_number").cast("long").alias("n"), F.col("transaction_index").cast("long").alias("i")))
+        return out.where("hash is not null")
+
+    def _find(self, kind: str, value: str):
+        """The hash's row in the newest chunk that has it."""
+        paths = [f"{self.files.root}/{next(iter(c.tables.values())).rsplit('/', 1)[0]}/{HASHES}.parquet" for c in self.snapshot().chunks]
+        if not paths:
+            return None
+        found = self.spark.read.schema("kind string, hash string, n long, i long").parquet(*paths).where((F.col("hash") == value) & (F.col("kind") == kind))
+        return found.orderBy(F.desc("n"), F.desc("i")).first()
+
+    def append(self, tables: Mapping[str, DataFrame], parent_hash: str, final: BlockRef | None = None, keep: int | None = None) -> Manifest:
+        """A chunk after the head. Finality and retention that come with it are part of the same commit."""
         m = self.snapshot()
-        return self.commit(m, extend(m, self.put(tables, parent_hash)))
+        return self.commit(m, _settled(extend(m, self.put(tables, parent_hash)), final, keep))
 
-    def fork(self, tables: Mapping[str, DataFrame], parent_hash: str) -> Manifest:
+    def fork(self, tables: Mapping[str, DataFrame], parent_hash: str, final: BlockRef | None = None, keep: int | None = None) -> Manifest:
+        """A chunk in place of all from its first block on; likewise."""
         m = self.snapshot()
-        return self.commit(m, replace_fork(m, self.put(tables, parent_hash)))
+        return self.commit(m, _settled(replace_fork(m, self.put(tables, parent_hash)), final, keep))
+
+    def settle(self, final: BlockRef | None = None, keep: int | None = None) -> Manifest:
+        """Finality and retention without a chunk, in one commit."""
+        m = self.snapshot()
+        new = _settled(m, final, keep)
+        return m if new == m else self.commit(m, new)
 
     def finalize(self, block: BlockRef) -> Manifest:
         m = self.snapshot()
@@ -388,24 +432,27 @@ class Store:
 
     def block_by_hash(self, block_hash: str) -> BlockRef | None:
         """A miss proves nothing about blocks that aren't stored."""
-        t = self.tables().frames.get(self.catalog.header.name)
-        row = t.where(F.col("hash") == block_hash).select(F.col(self.catalog.header.block).cast("long").alias("n")).first() if t is not None else None
+        row = self._find("block", block_hash)
         return BlockRef(row["n"], block_hash) if row else None
 
     def transaction_by_hash(self, transaction_hash: str) -> tuple[int, int] | None:
         """(block number, transaction index)."""
-        t = self.tables().frames.get("transactions")
-        row = t.where(F.col("hash") == transaction_hash).select(F.col("block_number").cast("long").alias("b"), F.col("transaction_index").cast("long").alias("i")).first() if t is not None else None
-        return (row["b"], row["i"]) if row else None
+        row = self._find("transaction", transaction_hash)
+        return (row["n"], row["i"]) if row else None
 
 
 def broken_links(header: DataFrame, number: str) -> DataFrame:
     """Blocks that break the chain of a table: without their parent before them, a second child of one parent, or a
-    second block of one number. The first block needs no parent. All by keys, never one sort of all blocks."""
+    second block of one number. The first block needs no parent. All by counts per key, combined before each shuffle, so a parent of very many
+    blocks is one row; blocks without a parent join nothing."""
     own = header.select(F.col(number).cast("long").alias("n"), "hash", "parent_hash")
-    parents = own.groupBy(F.col("hash").alias("parent_hash")).agg(F.max("n").alias("parent_number"))
+    as_parent = own.select(F.col("hash").alias("parent_hash"), F.col("n").alias("_number"), F.lit(0).alias("_child"))
+    as_child = own.where("parent_hash is not null").select("parent_hash", F.lit(None).cast("long").alias("_number"), F.lit(1).alias("_child"))
+    parents = as_parent.unionByName(as_child).groupBy("parent_hash").agg(F.max("_number").alias("parent_number"), F.sum("_child").alias("_siblings")).where("parent_number is not null")
+    crowded = own.groupBy("n").agg(F.count(F.lit(1)).alias("_same")).where("_same > 1")
     first = own.agg(F.min("n").alias("_first"))
-    linked = own.join(parents, "parent_hash", "left").join(F.broadcast(first))
-    counted = linked.withColumn("_siblings", F.count(F.lit(1)).over(W.partitionBy("parent_hash"))).withColumn("_same", F.count(F.lit(1)).over(W.partitionBy("n")))
+    linked = own.where("parent_hash is not null").join(parents, "parent_hash", "left").select("n", "hash", "parent_hash", "parent_number", "_siblings")
+    orphans = own.where("parent_hash is null").select("n", "hash", "parent_hash", F.lit(None).cast("long").alias("parent_number"), F.lit(None).cast("long").alias("_siblings"))
+    counted = linked.unionByName(orphans).join(crowded, "n", "left").join(F.broadcast(first))
     unlinked = (F.col("n") > F.col("_first")) & (F.col("parent_number").isNull() | (F.col("parent_number") >= F.col("n")))
-    return counted.where(unlinked | (F.col("_same") > 1) | (F.col("parent_number").isNotNull() & (F.col("_siblings") > 1))).select("n", "hash", "parent_hash")
+    return counted.where(unlinked | F.col("_same").isNotNull() | (F.col("parent_number").isNotNull() & (F.col("_siblings") > 1))).select("n", "hash", "parent_hash")

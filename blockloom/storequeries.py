@@ -91,12 +91,55 @@ def stream_ingest(spark: SparkSession, root: str) -> DataFrame:
     return store.tables().get("logs").select(*_LOGS)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (store_fork_snapshot, store_compaction, stream_ingest)}
+def transaction_by_hash(spark: SparkSession, root: str) -> DataFrame:
+    """All transactions stored in two chunks; the greatest and the least hash looked up by the chunks' side tables of hashes."""
+    kept = load(spark, root, "evm_transactions").select("block_number", "transaction_index", "hash").distinct()
+    lo, hi, least, greatest = kept.agg(F.min("block_number"), F.max("block_number"), F.min("hash"), F.max("hash")).first()
+    found = []
+    if lo is not None:
+        store, mid = _store(spark), lo + (hi - lo) // 2
+        for first, last in ((lo, mid), (mid + 1, hi)):
+            if first <= last:
+                tables = {"blocks": _chunk(spark, kept, first, last)["blocks"], "transactions": kept.where(F.col("block_number").between(first, last))}
+                store.append(tables, f"h{first - 1}")
+        found = [(h, *store.transaction_by_hash(h)) for h in (least, greatest)]
+    return spark.createDataFrame(found, "hash string, block_number long, transaction_index long")
+
+
+#: The blocks that the fork below replaces.
+FORKED = (700000400, 700000599)
+
+
+def fork_replace_union(spark: SparkSession, root: str) -> DataFrame:
+    """Fills per block after some blocks were replaced by a chunk without fills, and the blocks after them came again on top of it."""
+    table = load(spark, root, "fills").select("block_number", "fill_index")
+    lo, hi = table.agg(F.min("block_number"), F.max("block_number")).first()
+    store = Store(spark, _folder(spark, "store"), DIALECTS["hyperliquidFills"].catalog, "hyperliquidFills")
+    if lo is None:
+        return table.groupBy("block_number").agg(F.count(F.lit(1)).alias("n"))
+
+    def chunk(first: int, last: int, fork_at: int | None, kept: bool = True) -> dict[str, DataFrame]:
+        return {"blocks": _chunk(spark, table, first, last, fork_at)["blocks"], "fills": table.where(F.col("block_number").between(first, last) & F.lit(kept))}
+
+    before, forked, after = (lo, min(hi, FORKED[0] - 1)), (max(lo, FORKED[0]), min(hi, FORKED[1])), (max(lo, FORKED[1] + 1), hi)
+    for first, last in (before, forked, after):
+        if first <= last:
+            store.append(chunk(first, last, None), f"h{first - 1}")
+    if forked[0] <= forked[1]:
+        store.fork(chunk(*forked, forked[0], kept=False), f"h{forked[0] - 1}")
+        if after[0] <= after[1]:
+            store.append(chunk(*after, forked[0]), f"g{after[0] - 1}")
+    return store.tables().get("fills").groupBy("block_number").agg(F.count(F.lit(1)).alias("n"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (store_fork_snapshot, store_compaction, stream_ingest, transaction_by_hash, fork_replace_union)}
 
 _COLUMNS = ", ".join(_LOGS)
 _ALL = f"WITH l AS (SELECT DISTINCT {_COLUMNS} FROM evm_logs), m AS (SELECT min(block_number) + (max(block_number) - min(block_number)) // 2 AS mid FROM l)"
 SQL: dict[str, str] = {
     "store_fork_snapshot": f"{_ALL} SELECT {_COLUMNS}, 'before' AS snapshot FROM l UNION ALL SELECT {_COLUMNS}, 'now' FROM l, m WHERE block_number < mid OR topic0 IS NOT NULL",
     "store_compaction": f"{_ALL} SELECT block_number, count(*) AS n, 1 AS chunks FROM l, m WHERE block_number >= mid GROUP BY 1",
+    "transaction_by_hash": "SELECT DISTINCT hash, block_number, CAST(transaction_index AS BIGINT) AS transaction_index FROM evm_transactions WHERE hash IN (SELECT min(hash) FROM evm_transactions UNION ALL SELECT max(hash) FROM evm_transactions)",
+    "fork_replace_union": f"SELECT block_number, count(*) AS n FROM fills WHERE block_number NOT BETWEEN {FORKED[0]} AND {FORKED[1]} GROUP BY 1",
     "stream_ingest": f"{_ALL} SELECT {_COLUMNS} FROM l",
 }

@@ -64,7 +64,7 @@ class Ingest:
         head = m.head
         known = {c.last: c.last_hash for c in m.chunks}
         if head and refs and refs[-1]["n"] <= head.number and known.get(refs[-1]["n"]) == refs[-1]["hash"]:
-            return self._finish(m, refs)
+            return self.store.settle(self._final(refs), self.keep)
         if head:
             fresh = [r for r in refs if r["n"] > head.number]
             if fresh and fresh[0]["parent"] == head.hash:
@@ -77,13 +77,12 @@ class Ingest:
         chosen = numbered.where(F.col("n").between(refs[0]["n"], refs[-1]["n"])).dropDuplicates(["line"])
         tables = batch_tables(self.store.spark, self.store, chosen, self.schemas)
         put = self.store.append if head is None or (refs[0]["n"] > head.number and refs[0]["parent"] == head.hash) else self.store.fork
-        return self._finish(put(tables, refs[0]["parent"]), refs)
+        return put(tables, refs[0]["parent"], self._final(refs), self.keep)
 
-    def _finish(self, m: Manifest, refs: Sequence) -> Manifest:
+    @staticmethod
+    def _final(refs: Sequence) -> BlockRef | None:
         final = [r for r in refs if r["final"]]
-        if final:
-            m = self.store.finalize(BlockRef(final[-1]["n"], final[-1]["hash"]))
-        return self.store.retain(keep=self.keep) if self.keep is not None else m
+        return BlockRef(final[-1]["n"], final[-1]["hash"]) if final else None
 
     def step(self, source: Source) -> str:
         """One round: ``grown``, ``rolled back`` (asks again from the common block) or ``idle``."""
