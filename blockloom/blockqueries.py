@@ -18,7 +18,7 @@ from blockloom.dialects import evm as evm_dialect
 from blockloom.functions import base58, bloom, derive, exp
 from blockloom.operators import relations as rel
 from blockloom.operators.predicates import All, Any_, Bloom, Compare, ContainsAny, Eq, In, discriminator
-from blockloom.plans.execute import Execution, Tables
+from blockloom.plans.execute import BUDGET, Execution, Tables
 from blockloom.plans.plan import PARENTS, PlanBuilder
 from blockloom.plans.request import parse
 from blockloom.session import materialize, shared_folder
@@ -315,7 +315,8 @@ _WEIGHTS = f"""WITH blocks AS (SELECT DISTINCT block_number AS number FROM (SELE
   picked AS (SELECT number, 32 + sum(w) AS weight FROM (SELECT * FROM items UNION ALL SELECT min(number), 0 FROM blocks UNION ALL SELECT max(number), 0 FROM blocks) GROUP BY number),
   every AS (SELECT b.number, 32 + coalesce(sum(w), 0) AS weight FROM blocks b LEFT JOIN items i ON b.number = i.number GROUP BY b.number),
   run AS (SELECT number, weight, sum(weight) OVER (ORDER BY number) AS running FROM picked),
-  cut AS (SELECT coalesce(max(CASE WHEN running <= {_BUDGET} THEN number END), min(number)) AS last_block FROM run)"""
+  cut AS (SELECT coalesce(max(CASE WHEN running <= {_BUDGET} THEN number END), min(number)) AS last_block FROM run),
+  standard AS (SELECT coalesce(max(CASE WHEN running <= {BUDGET} THEN number END), min(number)) AS last_block FROM run)"""
 
 
 @_query(f"{_WEIGHTS} SELECT number, CAST(weight AS BIGINT) AS weight FROM picked")
@@ -346,12 +347,12 @@ def budget_first_block(spark: SparkSession, root: str) -> DataFrame:
     return run(spark, root, evm, _BODY, budget=1).kept()
 
 
-@_query(f"{_WEIGHTS}, c2 AS (SELECT coalesce(max(CASE WHEN r <= {_BUDGET} THEN number END), min(number)) AS k FROM (SELECT number, sum(weight) OVER (ORDER BY number) AS r FROM every)) SELECT number FROM blocks WHERE number <= (SELECT k FROM c2)")
+@_query(f"{_WEIGHTS}, c2 AS (SELECT coalesce(max(CASE WHEN r <= {BUDGET} THEN number END), min(number)) AS k FROM (SELECT number, sum(weight) OVER (ORDER BY number) AS r FROM every)) SELECT number FROM blocks WHERE number <= (SELECT k FROM c2)")
 def include_all_blocks(spark: SparkSession, root: str) -> DataFrame:
     return run(spark, root, evm, {**_BODY, "includeAllBlocks": True}).headers().select("number")
 
 
-@_query(f"{_WEIGHTS} SELECT number FROM blocks WHERE number IN (SELECT number FROM run WHERE number <= (SELECT last_block FROM cut))")
+@_query(f"{_WEIGHTS} SELECT number FROM blocks WHERE number IN (SELECT number FROM run WHERE number <= (SELECT last_block FROM standard))")
 def header_boundaries(spark: SparkSession, root: str) -> DataFrame:
     """Headers of blocks with items, and of the range's first and last block."""
     return run(spark, root, evm, _BODY).headers().select("number")
@@ -381,7 +382,7 @@ _TOPICS = "'[' || CASE WHEN topic0 IS NULL THEN '' ELSE '\"' || topic0 || '\"' |
   tj AS (SELECT block_number AS number, transaction_index AS k, '{{"hash":' || {_text("hash")} || ',"to":' || {_text("to_address")} || ',"input":' || {_text("input")} || ',"sighash":' || {_text("sighash")} || '}}' AS j FROM t),
   ll AS (SELECT number, string_agg(j, ',' ORDER BY k, j) AS a FROM lj GROUP BY 1), tl AS (SELECT number, string_agg(j, ',' ORDER BY k, j) AS a FROM tj GROUP BY 1)
   SELECT r.number, '{{"header":{{"number":' || r.number || '}}' || coalesce(',"transactions":[' || tl.a || ']', '') || coalesce(',"logs":[' || ll.a || ']', '') || '}}' AS json
-  FROM run r LEFT JOIN ll ON r.number = ll.number LEFT JOIN tl ON r.number = tl.number WHERE r.number <= (SELECT last_block FROM cut)"""
+  FROM run r LEFT JOIN ll ON r.number = ll.number LEFT JOIN tl ON r.number = tl.number WHERE r.number <= (SELECT last_block FROM standard)"""
 )
 def multi_request_budget(spark: SparkSession, root: str) -> DataFrame:
     """The flagship: several requests with relations, the standard budget, and one nested record per block."""
@@ -423,7 +424,7 @@ def solana(spark: SparkSession, root: str) -> Tables:
 
 @_query(
     """WITH r AS (SELECT block_number AS number, sum(5 * 32 + coalesce(signatures_size, 0)) + 32 AS w FROM sol_transactions GROUP BY 1), u AS (SELECT number, sum(w) OVER (ORDER BY number) AS running FROM r),
-  c AS (SELECT coalesce(max(CASE WHEN running <= 400000 THEN number END), min(number)) AS last_block FROM u)
+  c AS (SELECT coalesce(max(CASE WHEN running <= 20971520 THEN number END), min(number)) AS last_block FROM u)
   SELECT block_number AS number, '{"header":{"number":' || block_number || '},"transactions":[' || string_agg(t, ',' ORDER BY k, t) || ']}' AS json FROM (
     SELECT block_number, transaction_index AS k, '{"transactionIndex":' || transaction_index || ',"version":' || CASE version WHEN -1 THEN '"legacy"' ELSE coalesce(CAST(version AS VARCHAR), 'null') END
     || ',"signatures":' || """
@@ -540,9 +541,9 @@ def sorted_write_roundtrip(spark: SparkSession, root: str) -> DataFrame:
 
 @_query(
     """WITH h AS (SELECT DISTINCT number, lower(trim(hash, ' ')) AS hash, lower(trim(parent_hash, ' ')) AS parent_hash FROM hl_blocks WHERE number IS NOT NULL),
-    one AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY number ORDER BY hash, parent_hash) = 1),
-    p AS (SELECT hash, max(number) AS pn FROM one GROUP BY 1), c AS (SELECT o.*, p.pn, count(*) OVER (PARTITION BY o.parent_hash) AS s FROM one o LEFT JOIN p ON o.parent_hash = p.hash)
-    SELECT number AS n, hash, parent_hash FROM c WHERE (number > (SELECT min(number) FROM one) AND (pn IS NULL OR pn >= number)) OR (pn IS NOT NULL AND s > 1)"""
+    p AS (SELECT hash, max(number) AS pn FROM h WHERE hash IS NOT NULL GROUP BY 1), k AS (SELECT parent_hash, count(*) AS children FROM h WHERE parent_hash IS NOT NULL GROUP BY 1), m AS (SELECT number, count(*) AS same FROM h GROUP BY 1),
+    c AS (SELECT h.*, p.pn, k.children, m.same FROM h JOIN m ON m.number = h.number LEFT JOIN p ON h.parent_hash = p.hash LEFT JOIN k ON h.parent_hash = k.parent_hash)
+    SELECT number AS n, hash, parent_hash FROM c WHERE (number > (SELECT min(number) FROM h) AND (pn IS NULL OR pn >= number)) OR (pn IS NOT NULL AND children > 1) OR same > 1"""
 )
 def continuity_check(spark: SparkSession, root: str) -> DataFrame:
     """Of all distinct headers those that don't link to an earlier one, or share their parent or their number."""
