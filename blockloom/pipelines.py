@@ -93,10 +93,18 @@ def p6_found(spark: SparkSession, root: str) -> DataFrame:
     return tree.where("cycle is not null").select(F.col("id").alias("hash"), F.col("cycle").alias("cycle_hash"), "hops")
 
 
+def _tree(tree: DataFrame) -> DataFrame:
+    return tree.select(F.col("id").alias("hash"), "root", F.coalesce("depth", F.lit(-1)).alias("depth"), F.array_join("path", "/").alias("path"), F.when(F.coalesce("hops", F.lit(1)) > 0, F.col("descendants")).otherwise(-1).alias("descendants"), F.col("cycle").alias("cycle_hash"))
+
+
 def p6_hierarchy(spark: SparkSession, root: str) -> DataFrame:
-    """Every header's root, depth, path and number of descendants; -1 for the numbers of headers on or behind a cycle."""
-    tree = hierarchy.hierarchy(load(spark, root, "hl_blocks"), "hash", "parent_hash", "number")
-    return tree.select(F.col("id").alias("hash"), "root", F.coalesce("depth", F.lit(-1)).alias("depth"), F.array_join("path", "/").alias("path"), F.when(F.col("cycle").isNull(), F.col("descendants")).otherwise(-1).alias("descendants"), F.col("cycle").alias("cycle_hash"))
+    """Every header's root, depth, path and number of descendants; depth -1 for headers on or behind a cycle, descendants -1 for those on one."""
+    return _tree(hierarchy.hierarchy(load(spark, root, "hl_blocks"), "hash", "parent_hash", "number"))
+
+
+def p6_any_order(spark: SparkSession, root: str) -> DataFrame:
+    """The same from an order column that says nothing: almost all links cross buckets where there are several."""
+    return _tree(hierarchy.hierarchy(load(spark, root, "hl_blocks"), "hash", "parent_hash", F.crc32(normal("hash"))))
 
 
 def p6_descendants(spark: SparkSession, root: str) -> DataFrame:
@@ -105,7 +113,7 @@ def p6_descendants(spark: SparkSession, root: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p2_found, p2_lookup_indexes, p4_found, p4_transactions, p4_fills, p5_features, p5_entries, p5_chosen, p6_found, p6_hierarchy, p6_descendants)
+    f.__name__: f for f in (p2_found, p2_lookup_indexes, p4_found, p4_transactions, p4_fills, p5_features, p5_entries, p5_chosen, p6_found, p6_hierarchy, p6_any_order, p6_descendants)
 }
 
 _T = "WITH t AS (SELECT DISTINCT block_number, transaction_index, signatures AS s, address_table_lookups AS l, loaded_addresses AS a FROM sol_transactions)"
@@ -189,5 +197,6 @@ SQL: dict[str, str] = {
         SELECT f.a AS ancestor, f.id AS descendant, x.d - coalesce(y.d, 0) AS distance FROM free f JOIN depths x ON f.id = x.id LEFT JOIN depths y ON f.a = y.id""",
     "p6_hierarchy": f"""{_WALK}, down AS (SELECT id, id AS root, CAST(0 AS BIGINT) AS depth, id AS path FROM h WHERE id NOT IN (SELECT id FROM links) UNION ALL SELECT l.id, d.root, d.depth + 1, d.path || '/' || l.id FROM down d JOIN links l ON l.p = d.id),
         below AS (SELECT a AS id, count(*) AS n FROM above GROUP BY 1)
-        SELECT h.id AS hash, d.root, coalesce(d.depth, -1) AS depth, d.path, CASE WHEN c.id IS NULL THEN coalesce(b.n, 0) ELSE -1 END AS descendants, c.cycle_hash FROM h LEFT JOIN down d ON h.id = d.id LEFT JOIN caught c ON h.id = c.id LEFT JOIN below b ON h.id = b.id""",
+        SELECT h.id AS hash, d.root, coalesce(d.depth, -1) AS depth, d.path, CASE WHEN h.id IN (SELECT id FROM rings) THEN -1 ELSE coalesce(b.n, 0) END AS descendants, c.cycle_hash FROM h LEFT JOIN down d ON h.id = d.id LEFT JOIN caught c ON h.id = c.id LEFT JOIN below b ON h.id = b.id""",
 }
+SQL["p6_any_order"] = SQL["p6_hierarchy"]

@@ -86,6 +86,14 @@ def _brute(links):
     return out
 
 
+def _chain(links, x):
+    seen = set()
+    while x in links and x not in seen:
+        seen.add(x)
+        x = links[x]
+    return seen
+
+
 def _forest(seed, n):
     rng = random.Random(seed)
     links = {}
@@ -115,6 +123,8 @@ def test_hierarchy_against_brute_force(spark, seed, n, bucket):
         assert (r["root"], r["depth"], r["path"], r["cycle"], r["hops"]) == want[k], k
     below = {k: sum(k in (w[2] or [])[:-1] for w in want.values()) for k in links}
     assert all(r["descendants"] == below[k] for k, r in got.items() if r["cycle"] is None)
+    behind = {k: sum(k in _chain(links, x) for x in links) - 1 for k, w in want.items() if w[4]}
+    assert all(got[k]["descendants"] == n for k, n in behind.items()) and (behind or seed == 4)
     pairs = {(r["ancestor"], r["descendant"]): r["distance"] for r in hierarchy.descendants(tree).collect()}
     assert pairs == {(a, k): w[1] - i for k, w in want.items() if w[2] for i, a in enumerate(w[2][:-1])}
     scalar = hierarchy.hierarchy(df, "hash", "parent_hash", "number", with_paths=False, bucket=bucket)
@@ -124,3 +134,22 @@ def test_hierarchy_against_brute_force(spark, seed, n, bucket):
 def test_empty(spark):
     df = spark.createDataFrame([], "hash string, parent_hash string, number long")
     assert hierarchy.hierarchy(df, "hash", "parent_hash", "number").count() == 0
+
+
+def test_a_long_chain_in_any_order_takes_few_steps(spark, monkeypatch):
+    """2,000 nodes in a row and a cycle of 300 with a tail, spread over 23 buckets at random: as many tables as a logarithm asks for."""
+    n = 2000
+    links = {f"n{i:05}": f"n{i - 1:05}" if i else None for i in range(n)}
+    links |= {f"c{i:03}": f"c{(i + 1) % 300:03}" for i in range(300)} | {"t0": "c007", "t1": "t0"}
+    order = list(range(len(links)))
+    random.Random(5).shuffle(order)
+    written = []
+    real = hierarchy.materialize
+    monkeypatch.setattr(hierarchy, "materialize", lambda df: written.append(1) or real(df))
+    df = spark.createDataFrame([(k, p, o) for (k, p), o in zip(links.items(), order)], "hash string, parent_hash string, number long")
+    got = {r["id"]: (r["root"], r["depth"], r["descendants"], r["cycle"], r["hops"]) for r in hierarchy.hierarchy(df, "hash", "parent_hash", "number", with_paths=False, bucket=100).collect()}
+    assert len(written) < 60
+    for i in range(n):
+        assert got[f"n{i:05}"] == ("n00000", i, n - 1 - i, None, None)
+    assert all(got[f"c{i:03}"][3:] == ("c000", 0) for i in range(300))
+    assert got["t0"] == (None, None, 1, "c000", 1) and got["t1"] == (None, None, 0, "c000", 2)
