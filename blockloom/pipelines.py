@@ -41,21 +41,26 @@ def p4_found(spark: SparkSession, root: str) -> DataFrame:
     return drift.changes(_raw_lines(spark, root), load(spark, root, "raw_files").select("feed", "file_no"))
 
 
-def _united(spark: SparkSession, root: str, key: tuple[str, str], fields: dict[str, str]) -> DataFrame:
-    # A line is of a kind if it has the kind's second key.
+def _of_kind(spark: SparkSession, root: str, key: tuple[str, str]) -> tuple[DataFrame, DataFrame]:
+    """The lines of a kind (those with the kind's second key) and the correspondences of their names."""
     lines = _raw_lines(spark, root).where(F.exists("fields", lambda x: x["name"] == key[1]))
-    renames, _ = materialize(drift.changes(lines))
-    return drift.unify(lines, renames, key, fields)
+    return lines, drift.matches(lines)
 
 
 def p4_transactions(spark: SparkSession, root: str) -> DataFrame:
     """All transactions of all files in one consistent table."""
-    return _united(spark, root, drift.TRANSACTION_KEY, drift.TRANSACTION_FIELDS)
+    return drift.unify(*_of_kind(spark, root, drift.TRANSACTION_KEY), drift.TRANSACTION_KEY, drift.TRANSACTION_FIELDS)
 
 
 def p4_fills(spark: SparkSession, root: str) -> DataFrame:
     """All fills of all files in one consistent table."""
-    return _united(spark, root, drift.FILL_KEY, drift.FILL_FIELDS)
+    return drift.unify(*_of_kind(spark, root, drift.FILL_KEY), drift.FILL_KEY, drift.FILL_FIELDS)
+
+
+def p4_uncastable(spark: SparkSession, root: str) -> DataFrame:
+    """How many values of each field of both tables can't be cast to the field's type."""
+    parts = [drift.uncastable(*_of_kind(spark, root, key), key, fields).groupBy("field").agg(F.count(F.lit(1)).alias("n")).select(F.lit(kind).alias("kind"), "field", "n") for kind, key, fields in (("transaction", drift.TRANSACTION_KEY, drift.TRANSACTION_FIELDS), ("fill", drift.FILL_KEY, drift.FILL_FIELDS))]
+    return parts[0].unionByName(parts[1])
 
 
 _FILL_EVENT = ["block_number", "fill_index"]
@@ -113,7 +118,7 @@ def p6_descendants(spark: SparkSession, root: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p2_found, p2_lookup_indexes, p4_found, p4_transactions, p4_fills, p5_features, p5_entries, p5_chosen, p6_found, p6_hierarchy, p6_any_order, p6_descendants)
+    f.__name__: f for f in (p2_found, p2_lookup_indexes, p4_found, p4_transactions, p4_fills, p4_uncastable, p5_features, p5_entries, p5_chosen, p6_found, p6_hierarchy, p6_any_order, p6_descendants)
 }
 
 _T = "WITH t AS (SELECT DISTINCT block_number, transaction_index, signatures AS s, address_table_lookups AS l, loaded_addresses AS a FROM sol_transactions)"

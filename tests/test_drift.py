@@ -52,10 +52,43 @@ def test_flooding_prefers_likely_names_on_equal_values():
     old = {"twap_id": "integer", "cost": "integer", "k": "string"}
     new = {"cost_units": "integer", "order.twap_id": "integer", "k": "string"}
     pairs = {(a, b): 2 for a in ("twap_id", "cost") for b in ("cost_units", "order.twap_id")}
-    assert set(drift.correspondences(old, new, pairs, {})) == {("twap_id", "order.twap_id"), ("cost", "cost_units")}
+    filled = {(a, None): 2 for a in ("twap_id", "cost")} | {(None, b): 2 for b in ("cost_units", "order.twap_id")}
+    assert set(drift.correspondences(old, new, pairs, filled)) == {("twap_id", "order.twap_id", 2), ("cost", "cost_units", 2)}
     scores = drift.flood(old, new, {})
     assert max((p for p in scores if p[0] == "k"), key=scores.get) == ("k", "k")
-    assert drift.correspondences(old, new, {}, {}) == []
+
+
+def test_flooding_alone_where_no_record_is_shared():
+    old = {"fee": "integer", "compute_units": "integer", "note": "string", "k": "string"}
+    new = {"meta.fee": "integer", "computeUnits": "integer", "flag": "boolean", "k": "string"}
+    assert set(drift.correspondences(old, new, {}, {})) == {("fee", "meta.fee", 0), ("compute_units", "computeUnits", 0)}
+    # A shared record that has a value under one of them only contradicts.
+    assert set(drift.correspondences(old, new, {}, {("fee", None): 1})) == {("compute_units", "computeUnits", 0)}
+    # Different types don't correspond without values, and neither do names that have nothing in common.
+    assert drift.correspondences({"size": "integer"}, {"sizes": "list"}, {}, {}) == [] == drift.correspondences({"abc": "integer"}, {"xyz": "integer"}, {}, {})
+
+
+def test_unshared_files_are_no_rename_but_unite(spark):
+    files = {("a", 1): [_tx(1, compute_units_consumed=5)], ("a", 2): [_tx(2, compute_units=6)]}
+    lines = _parsed(_rows(spark, files))
+    assert {tuple(r)[2:] for r in drift.changes(lines).collect()} == {("removed", "compute_units_consumed", ""), ("added", "", "compute_units")}
+    table = drift.unify(lines, drift.matches(lines), drift.TRANSACTION_KEY, drift.TRANSACTION_FIELDS)
+    assert {r["transaction_index"]: r["compute_units_consumed"] for r in table.collect()} == {1: 5, 2: 6}
+
+
+def test_one_name_for_two_things_in_two_feeds(spark):
+    """In feed a, fee became total; in feed b, total is another field beside fee."""
+    files = {("a", 1): [_tx(0, fee=1), _tx(1, fee=2)], ("a", 2): [_tx(1, total=2), _tx(2, total=3)], ("b", 1): [_tx(10, fee=7, total=100), _tx(11, fee=8, total=101)]}
+    lines = _parsed(_rows(spark, files))
+    got = {r["transaction_index"]: (r["fee"], r["total"]) for r in drift.unify(lines, drift.matches(lines), drift.TRANSACTION_KEY, drift.TRANSACTION_FIELDS).collect()}
+    assert got == {0: (1, None), 1: (2, None), 2: (3, None), 10: (7, "100"), 11: (8, "101")}
+
+
+def test_many_names_of_equal_values_are_not_compared_pairwise(spark):
+    wide = lambda p: {f"{p}{i}": i for i in range(60)}
+    files = {("a", 1): [_tx(1, **wide("old")), _tx(2, **wide("old"))], ("a", 2): [_tx(1, **wide("fresh")), _tx(2, **wide("fresh"))]}
+    got = {tuple(r)[2:] for r in drift.changes(_parsed(_rows(spark, files))).collect()}
+    assert got == {("renamed", f"old{i}", f"fresh{i}") for i in range(60)}
 
 
 def test_hot_file_and_repeats(spark):
@@ -79,6 +112,8 @@ def test_unify(spark):
     assert [got[i]["fee"] for i in (0, 1, 2, 8)] == [1, 3, 7, None]
     assert got[1]["has_dropped_log_messages"] is False and got[0]["has_dropped_log_messages"] is None
     assert got[1]["signatures"] == ["s"] and got[2]["signatures"] == ["t"] and got[2]["note"] == "hi"
+    lost = {(r["rec"], r["field"], r["value"]) for r in drift.uncastable(values, drift.changes(values), drift.TRANSACTION_KEY, drift.TRANSACTION_FIELDS).collect()}
+    assert lost == {("[5, 8]", "fee", '"x"')}
     with pytest.raises(ValueError):
         drift.unify(values, drift.changes(values), drift.TRANSACTION_KEY, drift.TRANSACTION_FIELDS, most=2)
 
