@@ -188,25 +188,51 @@ def partial_digests(df: DataFrame, keys: Sequence[str], fields: Sequence[str], e
     return wide.mapInArrow(run, spark_kind)
 
 
-def _compressed(nodes: DataFrame, names: list[str], k: int, top: int) -> DataFrame:
-    """Compression of whole groups (or whole subtrees, where ``top``) per task; ``total`` is the group's n."""
+def _whole_groups(batches: Iterator[pa.RecordBatch], keys: Sequence[str]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by the keys, cut only between groups: as many groups at a time as fill the buffer, or a single larger one."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+
+    def joined() -> pa.RecordBatch:
+        return pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        size += batch.num_rows
+        if size > _BUFFER:
+            rows = joined()
+            numbers = _Groups(len(keys)).of(rows, keys)
+            cut = int(np.flatnonzero(numbers == numbers[-1])[0])
+            if cut:
+                yield rows.slice(0, cut)
+            held = [rows.slice(cut)]
+            size = rows.num_rows - cut
+    if held:
+        yield joined()
+
+
+def _numbers(batch: pa.RecordBatch, column: str) -> np.ndarray:
+    return batch.column(batch.schema.get_field_index(column)).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _compressed(nodes: DataFrame, names: list[str], k: int, top: int, parts: Sequence[str] = ()) -> DataFrame:
+    """Compression of whole groups (or of their ``parts``, where only nodes below depth ``top`` move); ``total`` is the group's n. A task
+    holds one group at a time, or as many small ones as fill its buffer."""
     spark_kind, arrow_kind = _arrow_schema(nodes, names)
+    keys = [*names, *parts]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        groups, held, limits = _Groups(len(names)), [], {}
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in _whole_groups(batches, keys):
+            groups = _Groups(len(names))
             g = groups.of(batch, names)
-            column = lambda c: batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False).astype(np.int64)
-            held.append((g, column("node"), column("n")))
             first, at = np.unique(g, return_index=True)
-            limits.update(zip(first.tolist(), (column("total")[at] // k).tolist()))
-        if held:
-            limit = np.array([limits[i] for i in range(len(groups.values))], dtype=np.int64)
-            yield from _emit(groups, arrow_kind, names, *compress(*(np.concatenate(x) for x in zip(*held)), limit, top))
+            limit = np.zeros(len(groups.values), dtype=np.int64)
+            limit[first] = _numbers(batch, "total")[at] // k
+            yield from _emit(groups, arrow_kind, names, *compress(g, _numbers(batch, "node"), _numbers(batch, "n"), limit, top))
 
-    return nodes.mapInArrow(run, spark_kind)
+    return nodes.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, spark_kind)
 
 
 def merge(parts: DataFrame, keys: Sequence[str], error: float = ERROR) -> DataFrame:
@@ -223,12 +249,12 @@ def merge(parts: DataFrame, keys: Sequence[str], error: float = ERROR) -> DataFr
     level = F.floor(F.log2(F.col("node").cast("double"))).cast("int")
     # log2 of a 33-bit integer is exact enough except right at powers of two, where either side is a fine subtree.
     subtree = F.when(level > SUBTREE, F.expr(f"shiftright(node, greatest(0, cast(floor(log2(cast(node as double))) as int) - {SUBTREE}))")).otherwise(F.lit(0))
-    by_subtree = with_total(nodes).withColumn("_subtree", subtree).repartition(*names, "_subtree").drop("_subtree")
-    return _compressed(with_total(_compressed(by_subtree, names, k, SUBTREE)).repartition(*names), names, k, 0)
+    fine = _compressed(with_total(nodes).withColumn("_subtree", subtree), names, k, SUBTREE, ["_subtree"])
+    return _compressed(with_total(fine), names, k, 0)
 
 
 def percentiles(digests: DataFrame, keys: Sequence[str], at: Sequence[float]) -> DataFrame:
-    """keys, field, n and a column per wanted share (0.5 gives p50). A digest is small, and a task holds whole ones."""
+    """keys, field, n and a column per wanted share (0.5 gives p50). A digest is small, and a task holds some whole ones at a time."""
     names = [*keys, "field"]
     labels = ["p" + f"{100 * q:g}".replace(".", "_") for q in at]
     wanted = np.array(at, dtype=np.float64)
@@ -239,29 +265,24 @@ def percentiles(digests: DataFrame, keys: Sequence[str], at: Sequence[float]) ->
     arrow_kind = to_arrow_schema(spark_kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        groups, held = _Groups(len(names)), []
-        for batch in batches:
-            if batch.num_rows:
-                column = lambda c: batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False).astype(np.int64)
-                held.append((groups.of(batch, names), column("node"), column("n")))
-        if not held:
-            return
-        g, v, c = (np.concatenate(x) for x in zip(*held))
-        down = DEPTH + 1 - np.frexp(v.astype(np.float64))[1]
-        last = ((v + 1) << down) - 1 - (np.int64(1) << DEPTH)  # a node's last cell
-        order = np.lexsort((down, last, g))
-        g, c, last = g[order], c[order], last[order]
-        starts = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
-        ends = np.r_[starts[1:], len(g)]
-        rows, totals, results = [], [], []
-        for s, e in zip(starts.tolist(), ends.tolist()):
-            total = np.cumsum(c[s:e])
-            pick = np.searchsorted(total, np.maximum(1, np.ceil(wanted * total[-1])))
-            rows.append(int(g[s]))
-            totals.append(int(total[-1]))
-            results.append(cell_value(last[s:e][np.minimum(pick, e - s - 1)]))
-        keyed = [pa.array([groups.values[i][j] for i in rows], type=arrow_kind.field(x).type) for j, x in enumerate(names)]
-        columns = [pa.array([float(r[i]) for r in results]) for i in range(len(labels))]
-        yield pa.RecordBatch.from_arrays([*keyed, pa.array(totals, type=pa.int64()), *columns], schema=arrow_kind)
-
-    return digests.repartition(*names).mapInArrow(run, spark_kind)
+        for batch in _whole_groups(batches, names):
+            groups = _Groups(len(names))
+            g, v, c = groups.of(batch, names), _numbers(batch, "node"), _numbers(batch, "n")
+            down = DEPTH + 1 - np.frexp(v.astype(np.float64))[1]
+            last = ((v + 1) << down) - 1 - (np.int64(1) << DEPTH)  # a node's last cell
+            order = np.lexsort((down, last, g))
+            g, c, last = g[order], c[order], last[order]
+            starts = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
+            ends = np.r_[starts[1:], len(g)]
+            rows, totals, results = [], [], []
+            for s, e in zip(starts.tolist(), ends.tolist()):
+                total = np.cumsum(c[s:e])
+                pick = np.searchsorted(total, np.maximum(1, np.ceil(wanted * total[-1])))
+                rows.append(int(g[s]))
+                totals.append(int(total[-1]))
+                results.append(cell_value(last[s:e][np.minimum(pick, e - s - 1)]))
+            keyed = [pa.array([groups.values[i][j] for i in rows], type=arrow_kind.field(x).type) for j, x in enumerate(names)]
+            columns = [pa.array([float(r[i]) for r in results]) for i in range(len(labels))]
+            yield pa.RecordBatch.from_arrays([*keyed, pa.array(totals, type=pa.int64()), *columns], schema=arrow_kind)
+
+    return digests.repartition(*names).sortWithinPartitions(*names).mapInArrow(run, spark_kind)

@@ -71,7 +71,7 @@ _SETS = (("day",), ("coin",), ("day", "coin"), ())
 
 
 def p3_error_check(spark: SparkSession, root: str) -> DataFrame:
-    """Exact counts beside the estimates: whether each lies within five standard errors."""
+    """Exact counts beside the estimates: whether each lies within three standard errors, and one for whole numbers."""
     fills, _ = _users(spark, root)
     estimates = p3_distinct_users(spark, root)
     # One exact count per grouping; the distinct pairs combine before each shuffle.
@@ -82,10 +82,25 @@ def p3_error_check(spark: SparkSession, root: str) -> DataFrame:
         part = part.select(F.lit(",".join(keys)).alias("grouping"), *[(F.col(k) if k in keys else F.lit(None).cast(fills.schema[k].dataType)).alias(k) for k in ("day", "coin")], "exact_users")
         exact = part if exact is None else exact.unionByName(part)
     on = [estimates[c].eqNullSafe(exact[c]) for c in ("grouping", "day", "coin")]
-    within = F.abs(F.col("users") - F.col("exact_users")) <= 5 * F.col("standard_error") * F.col("exact_users") + 1
+    within = F.abs(F.col("users") - F.col("exact_users")) <= 3 * F.col("standard_error") * F.col("exact_users") + 1
     return exact.join(estimates, on).select(exact["grouping"], exact["day"].cast("string").alias("day"), exact["coin"], "exact_users", within.alias("within"))
 
 
+def p3_rms_check(spark: SparkSession, root: str) -> DataFrame:
+    """For each grouping, whether the root mean square of the relative errors of all its groups is within the standard error."""
+    fills, _ = _users(spark, root)
+    estimates = p3_distinct_users(spark, root)
+    pairs = fills.select("day", "coin", "user").distinct()
+    exact = None
+    for keys in _SETS:
+        part = pairs.select(*keys, "user").distinct().groupBy(*keys).agg(F.count("user").alias("exact"))
+        part = part.select(F.lit(",".join(keys)).alias("_grouping"), *[(F.col(k) if k in keys else F.lit(None).cast(fills.schema[k].dataType)).alias(f"_{k}") for k in ("day", "coin")], "exact")
+        exact = part if exact is None else exact.unionByName(part)
+    both = exact.join(estimates, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in ("grouping", "day", "coin")]).where("exact > 0")
+    error = (F.col("users") - F.col("exact")) / F.col("exact")
+    return both.groupBy("grouping").agg(F.count(F.lit(1)).alias("groups"), (F.sqrt(F.avg(error * error)) <= multibitmap.STANDARD_ERROR).alias("within"))
+
+
 def p7_rank_check(spark: SparkSession, root: str) -> DataFrame:
     """Whether every percentile's rank is within its bound, by counting the values below and up to it."""
     fills = load(spark, root, "fills")
@@ -121,14 +136,18 @@ def p9_containers(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p9_fill_check(spark: SparkSession, root: str) -> DataFrame:
-    """The number of documents, of those cut without need or not placed whole, and of containers above the capacity."""
+    """The number of documents, of those cut without need or not placed whole, of containers above the capacity, and of containers beyond
+    one in a hundred (and one) more than the tokens of all documents fill."""
     placed = p9_containers(spark, root)
     per_document = placed.groupBy("doc_id").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("pieces"), F.max("piece").alias("last"))
     sizes = load(spark, root, "documents").select("doc_id", tokens.count_column(F.col("text")).alias("size"))
     wrong = (F.col("tokens") != F.col("size")) | (F.col("pieces") != F.col("last") + 1) | (F.col("pieces") != F.greatest(F.lit(1), F.ceil(F.col("size") / packing.CAPACITY)))
     documents = sizes.join(per_document, "doc_id", "left").agg(F.count(F.lit(1)).alias("documents"), F.count_if(F.coalesce(wrong, F.lit(True))).alias("wrongly_cut"))
     overfull = placed.groupBy("container").agg(F.sum("tokens").alias("held")).agg(F.count_if(F.col("held") > packing.CAPACITY).alias("overfull"))
-    return documents.join(F.broadcast(overfull))
+    used = placed.where("tokens > 0").agg(F.count_distinct("container").alias("used"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("held"))
+    needed = F.ceil(F.col("held") / packing.CAPACITY)
+    spare = used.select(F.greatest(F.lit(0), F.col("used") - F.floor(1.01 * needed) - 1).cast("long").alias("spare"))
+    return documents.join(F.broadcast(overfull)).join(F.broadcast(spare))
 
 
 def p10_found(spark: SparkSession, root: str) -> DataFrame:
@@ -148,7 +167,7 @@ def p10_repeats(spark: SparkSession, root: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p1_found, p1_top_values, p3_distinct_users, p3_partials, p3_error_check, p7_percentiles, p7_day_percentiles, p7_rank_check, p8_ids, p8_round_trip, p9_containers, p9_fill_check, p10_found, p10_coverage, p10_repeats)
+    for f in (p1_found, p1_top_values, p3_distinct_users, p3_partials, p3_error_check, p3_rms_check, p7_percentiles, p7_day_percentiles, p7_rank_check, p8_ids, p8_round_trip, p9_containers, p9_fill_check, p10_found, p10_coverage, p10_repeats)
 }
 
 _VALUES = " UNION ALL ".join(f"SELECT '{field}' AS field, lower(trim(\"{field}\", ' ')) AS value FROM {table}" for field, table in _COLUMNS.items())
@@ -172,7 +191,10 @@ SQL: dict[str, str] = {
     "p1_top_values": f"{_COUNTS} SELECT field, value, n FROM (SELECT *, row_number() OVER (PARTITION BY field ORDER BY n DESC, value) AS r FROM c) WHERE r <= 100",
     "p3_error_check": f"""{_USERS} SELECT 'day' AS "grouping", day, NULL AS coin, count(DISTINCT u) AS exact_users, true AS within FROM w GROUP BY day UNION ALL SELECT 'coin', NULL, coin, count(DISTINCT u), true FROM w GROUP BY coin
         UNION ALL SELECT 'day,coin', day, coin, count(DISTINCT u), true FROM w GROUP BY day, coin UNION ALL SELECT '', NULL, NULL, count(DISTINCT u), true FROM w""",
+    "p3_rms_check": """WITH w AS (SELECT CAST("time" AS DATE) AS day, coin, CASE WHEN lower(trim("user", ' ')) IN ('', '0x') THEN NULL ELSE lower(trim("user", ' ')) END AS u FROM fills),
+        g AS (SELECT 'day' AS "grouping", count(DISTINCT u) AS n FROM w GROUP BY day UNION ALL SELECT 'coin', count(DISTINCT u) FROM w GROUP BY coin UNION ALL SELECT 'day,coin', count(DISTINCT u) FROM w GROUP BY day, coin UNION ALL SELECT '', count(DISTINCT u) FROM w)
+        SELECT "grouping", count(*) AS groups, true AS within FROM g WHERE n > 0 GROUP BY 1""",
     "p7_rank_check": " UNION ALL ".join(f"SELECT coin, '{f}' AS field, count(*) AS n, true AS within FROM fills WHERE {f} IS NOT NULL AND NOT isnan({f}) GROUP BY coin" for f in ("px", "sz", "fee")),
-    "p9_fill_check": "SELECT count(*) AS documents, 0 AS wrongly_cut, 0 AS overfull FROM documents",
+    "p9_fill_check": "SELECT count(*) AS documents, 0 AS wrongly_cut, 0 AS overfull, 0 AS spare FROM documents",
     "p8_round_trip": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
 }

@@ -1,5 +1,6 @@
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -73,3 +74,15 @@ def test_small_null_nan_ties_and_empty(spark):
     assert got == {"a": (3, 2.0), None: (1, 7.0), "c": (1, float("inf")), "d": (2, 0.0)}
     empty = digest.merge(digest.partial_digests(spark.createDataFrame([], kind), ["coin"], ["px"]), ["coin"])
     assert digest.percentiles(empty, ["coin"], [0.5]).count() == 0
+
+
+def test_groups_are_never_cut(monkeypatch):
+    """However small the buffer, each group comes in one piece and in order."""
+    rng = np.random.default_rng(3)
+    keys = np.sort(rng.integers(0, 40, 3000))
+    rows = pa.RecordBatch.from_arrays([pa.array([None if k == 7 else f"k{k}" for k in keys]), pa.array(np.arange(3000))], names=["k", "v"])
+    monkeypatch.setattr(digest, "_BUFFER", 100)
+    pieces = list(digest._whole_groups((rows.slice(i, 64) for i in range(0, 3000, 64)), ["k"]))
+    assert pa.Table.from_batches(pieces).column("v").to_pylist() == list(range(3000)) and len(pieces) > 10
+    seen = [set(p.column(0).to_pylist()) for p in pieces]
+    assert sum(map(len, seen)) == len(set().union(*seen))
