@@ -39,7 +39,9 @@ def parents(source: DataFrame, source_key: Sequence[str], target_key: Sequence[s
 
 def _below(target: DataFrame, target_key: Sequence[str], anchors: DataFrame, strict: bool) -> DataFrame:
     *group, address = target_key
-    placed = keys_of(target, target_key).withColumn("_prefix", F.explode(_prefixes(F.col(address), strict)))
+    # Most groups have no anchor; only the rest are spread by their prefixes.
+    near = keys_of(target, target_key).join(anchors.select(*group).distinct(), group, "left_semi") if group else keys_of(target, target_key)
+    placed = near.withColumn("_prefix", F.explode(_prefixes(F.col(address), strict)))
     above = anchors.withColumnRenamed(address, "_prefix")
     return placed.join(above, [*group, "_prefix"], "left_semi").select(*target_key).distinct()
 

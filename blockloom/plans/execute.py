@@ -1,7 +1,8 @@
 """Plans to DataFrames: selection by existence, weights, the output budget, nested JSON per block.
 
-Everything stays lazy but the check of the parent hash and, before output, the budget: three numbers. The block range goes into every scan: all keys begin with the
-block number, so related rows lie in the same block. Weights are summed per block before anything else; the running
+Selections stay lazy. Before output, the keys of each relation and the weights of the chosen blocks are written once and read
+from then on, so that no relation is evaluated twice; the budget then is one small action that gives three numbers. The block range goes into every scan: all keys begin
+with the block number, so related rows lie in the same block. Weights are summed per block before anything else; the running
 total has two levels (blocks within ranges, and ranges), so no task sorts all blocks.
 """
 
@@ -10,6 +11,7 @@ from __future__ import annotations
 import functools
 import operator
 from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
@@ -20,10 +22,13 @@ from pyspark.sql import types as T
 from blockloom.catalog import TableDef
 from blockloom.errors import ColumnMissing, TableMissing, UnexpectedBaseBlock
 from blockloom.operators import relations as rel
-from blockloom.plans.plan import CHILDREN, FOREIGN_CHILDREN, FOREIGN_PARENTS, JOIN, PARENTS, Output, Plan, Scan
+from blockloom.plans.plan import CHILDREN, FOREIGN_CHILDREN, FOREIGN_PARENTS, JOIN, PARENTS, Output, Plan, Relation, Scan
+from blockloom.session import materialize
 
 BUDGET = 20 * 1024 * 1024
 RANGE = 1 << 13
+#: Blocks below the range whose headers are read for the check of the parent.
+NEAR = 1000
 
 
 class Tables:
@@ -46,6 +51,8 @@ class Execution:
     _chosen: dict[str, DataFrame | None] = field(default_factory=dict)
     _bounds: tuple[int, int, int] | None = None
     _within: Execution | None = None
+    _written: dict[Relation, DataFrame] = field(default_factory=dict)
+    _weights: DataFrame | None = None
 
     def table(self, name: str) -> DataFrame:
         """The table within the block range, block numbers as longs, undeclared names as they are stored."""
@@ -102,7 +109,9 @@ class Execution:
         self._chosen[name] = out
         return out
 
-    def _keys(self, r, scans: Sequence[Scan], target: DataFrame) -> DataFrame:
+    def _keys(self, r: Relation, scans: Sequence[Scan], target: DataFrame) -> DataFrame:
+        if r in self._written:
+            return self._written[r]
         source = self.scanned(scans)
         self.require(r.source, source, r.source_key)
         self.require(r.target, target, r.target_key)
@@ -118,6 +127,20 @@ class Execution:
             return rel.foreign_parents(source, r.source_key, target, r.target_key)
         raise AssertionError(r.kind)
 
+    def write_keys(self) -> None:
+        """Evaluate each relation that output needs once, all at the same time, and keep its keys."""
+        asked = {}
+        for t in self.plan.catalog:
+            if not any(s.table == t.name and s.shown and s.predicate is None for s in self.plan.scans):
+                for r, scans in self.plan.relations_into(t.name):
+                    if r not in self._written:
+                        asked[r] = self._keys(r, scans, self.table(t.name))
+        if asked:
+            with ThreadPoolExecutor(len(asked)) as pool:
+                done = dict(zip(asked, pool.map(lambda keys: materialize(keys)[0], asked.values())))
+            self._written.update(done)
+            self._chosen.clear()
+
     def weight(self, definition: TableDef, output: Output, df: DataFrame) -> Column:
         """A row's weight; a null size counts nothing."""
         fixed, stored = definition.weight([c for c in output.columns if c in df.columns])
@@ -145,7 +168,7 @@ class Execution:
 
     def running(self) -> DataFrame:
         """number, weight, running: the cumulative weight in block order, in two levels."""
-        weights = self.block_weights().withColumn("_range", F.floor(F.col("number") / RANGE))
+        weights = (self._weights if self._weights is not None else self.block_weights()).withColumn("_range", F.floor(F.col("number") / RANGE))
         ranges = weights.groupBy("_range").agg(F.sum("weight").alias("_w"))
         before = ranges.select("_range", F.coalesce(F.sum("_w").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
         within = F.sum("weight").over(W.partitionBy("_range").orderBy("number").rowsBetween(W.unboundedPreceding, 0))
@@ -160,6 +183,9 @@ class Execution:
         """(first block, last block, last block within the budget) of what may be emitted: the one action before
         output, three numbers. None where the range has no block."""
         if self._bounds is None:
+            self.write_keys()
+            if self._weights is None:
+                self._weights = materialize(self.block_weights())[0]
             r = self.running()
             row = r.agg(F.min("number").alias("first"), F.max("number").alias("end"), F.max(F.when(F.col("running") <= self.budget, F.col("number"))).alias("fit")).first()
             if row["first"] is None:
@@ -171,7 +197,7 @@ class Execution:
         """The same plan up to the last block within the budget; as a literal, that bound reaches every scan."""
         if self._within is None:
             bounds = self.bounds()
-            self._within = Execution(replace(self.plan, last_block=-1 if bounds is None else bounds[2]), self.tables, self.budget)
+            self._within = Execution(replace(self.plan, last_block=-1 if bounds is None else bounds[2]), self.tables, self.budget, _written=self._written)
         return self._within
 
     def check_parent(self) -> None:
@@ -184,10 +210,17 @@ class Execution:
         self.require(header.name, df, ["parent_hash"])
         own = F.col(header.block).cast("long")
         above = F.col("parent_number").cast("long") if "parent_number" in df.columns else own - 1
-        refs = df.where(own == first).select(above.alias("number"), F.col("parent_hash").alias("hash"))
-        if "hash" in df.columns:
-            refs = refs.unionByName(df.where(own < first).select(own.alias("number"), "hash"))
-        found = refs.select("number", F.coalesce("hash", F.lit("")).alias("hash")).distinct().orderBy(F.desc("number")).limit(100).collect()
+        named = df.where(own == first).select(above.alias("number"), F.col("parent_hash").alias("hash"))
+
+        def below(lowest: int | None) -> list:
+            refs = named
+            if "hash" in df.columns:
+                near = (own < first) if lowest is None else own.between(lowest, first - 1)
+                refs = refs.unionByName(df.where(near).select(own.alias("number"), "hash"))
+            return refs.select("number", F.coalesce("hash", F.lit("")).alias("hash")).distinct().orderBy(F.desc("number")).limit(100).collect()
+
+        # All headers below the range are looked at only where those right below it are missing.
+        found = below(first - NEAR) or below(None)
         previous = [(r["number"], r["hash"]) for r in reversed(found)]
         if not previous or previous[-1][1] != self.plan.parent_hash:
             raise UnexpectedBaseBlock(self.plan.parent_hash, previous)
@@ -219,9 +252,7 @@ class Execution:
         df = inner.table(header.name)
         if self.plan.all_blocks or self.bounds() is None:
             return df
-        numbers = [rel.keys_of(inner.selected(t.name), [t.block], [header.block]) for t in inner.item_tables()]
-        first, end, _ = self.bounds()
-        return rel.select_rows(df, F.col(header.block).isin(first, end), [([header.block], n) for n in numbers])
+        return rel.select_rows(df, None, [([header.block], self._weights.select(F.col("number").alias(header.block)))])
 
     def blocks(self) -> DataFrame:
         """number, json: one nested record per block, in block order; collections without items are left out."""
@@ -238,7 +269,8 @@ class Execution:
         parts = [F.concat(F.lit('{"header":'), F.col("_header"))]
         for i, t in enumerate(self.item_tables()):
             parts.append(F.coalesce(F.concat(F.lit(f',"{t.item_name}":['), F.col(f"_items{i}"), F.lit("]")), F.lit("")))
-        return out.select("number", F.concat(*parts, F.lit("}")).alias("json")).orderBy("number")
+        # The budget bounds all records together, so one task orders them; a range partitioning would make them twice, to sample them first.
+        return out.select("number", F.concat(*parts, F.lit("}")).alias("json")).repartition(1).sortWithinPartitions("number")
 
     def json_lines(self) -> list[str]:
         """The records as text; bounded by the budget."""
