@@ -13,9 +13,10 @@ import urllib.request
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass
+from pathlib import Path
 from typing import Any
 
-from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
 from blockloom.sources.store import BlockRef
 
@@ -127,10 +128,15 @@ def linked(source: Source) -> Source:
     return read
 
 
-def arbitrate(sources: Sequence[Source], pause: Callable[[float], None] = time.sleep, rounds: int = 1) -> Source:
+#: Fixed value: seconds after which a fork counts that not most sources report, if none has the next block.
+PATIENCE = 2.0
+
+
+def arbitrate(sources: Sequence[Source], pause: Callable[[float], None] = time.sleep, rounds: int = 1, clock: Callable[[], float] = time.monotonic) -> Source:
     """Several sources as one. In fixed order, the first that has the next blocks gives them; a fork counts when most of
-    those that answer say so; a source that fails waits longer each time."""
+    those that answer say so, or some have said so for ``PATIENCE`` while none had the next block; a source that fails waits longer each time."""
     failures: Counter = Counter()
+    disputed: dict[tuple[int, str | None], float] = {}
 
     def read(first: int, parent: str | None) -> Iterator[Block | Fork]:
         at, expected = first, parent
@@ -150,17 +156,23 @@ def arbitrate(sources: Sequence[Source], pause: Callable[[float], None] = time.s
                 except (OSError, ValueError):
                     failures[i] += 1
                     pause(BACKOFF[min(failures[i], len(BACKOFF)) - 1])
-            if at == first and forks and 2 * len(forks) > active:
-                yield max(forks, key=lambda f: len(f.previous))
-                return
+            if at == first and forks:
+                since = disputed.setdefault((first, parent), clock())
+                if 2 * len(forks) > active or clock() - since >= PATIENCE:
+                    disputed.clear()
+                    yield max(forks, key=lambda f: len(f.previous))
+                    return
+            else:
+                disputed.clear()
 
     return read
 
 
 class BlockLines(DataSource):
-    """Streaming source ``blocklines``: the lines of JSON-lines files in a folder, at most ``rows`` per batch.
+    """Streaming source ``blocklines``: the lines of JSON-lines files in a folder that all executors share.
 
-    The offset is the number of lines read, so a restarted query goes on where its checkpoint says.
+    The offset is the bytes read of each file, up to its last whole line, so files may grow, new ones may appear, and a restarted query goes on where its
+    checkpoint says. Each file is a partition of its own; the driver only lists the folder.
     """
 
     @classmethod
@@ -170,37 +182,54 @@ class BlockLines(DataSource):
     def schema(self) -> str:
         return "line string"
 
-    def simpleStreamReader(self, schema):  # noqa: N802
+    def streamReader(self, schema):  # noqa: N802
         return _LineReader(self.options)
 
 
-class _LineReader(SimpleDataSourceStreamReader):
-    def __init__(self, options) -> None:
-        self.folder, self.most = options["path"], int(options.get("rows", 1000))
-
-    def _lines(self, start: int, end: int | None) -> list[str]:
-        from pathlib import Path
-
-        out, at = [], 0
-        for file in sorted(Path(self.folder).glob("*.jsonl")):
-            with file.open() as lines:
-                for line in lines:
-                    if at >= start and (end is None or at < end):
-                        out.append(line.rstrip("\n"))
-                    at += 1
-                    if end is not None and at >= end:
-                        return out
-        return out
+@dataclass
+class _Piece(InputPartition):
+    path: str
+    start: int
+    end: int
 
-    def initialOffset(self):  # noqa: N802
-        return {"at": 0}
 
-    def read(self, start):
-        lines = self._lines(start["at"], start["at"] + self.most)
-        return iter([(x,) for x in lines]), {"at": start["at"] + len(lines)}
+class _LineReader(DataSourceStreamReader):
+    def __init__(self, options) -> None:
+        self.folder = options["path"]
+
+    @staticmethod
+    def _whole_lines(path: str) -> int:
+        """The bytes up to the last line end."""
+        with open(path, "rb") as file:
+            at = file.seek(0, 2)
+            while at > 0:
+                step = min(at, 1 << 16)
+                file.seek(at - step)
+                found = file.read(step).rfind(b"\n")
+                if found >= 0:
+                    return at - step + found + 1
+                at -= step
+        return 0
 
-    def readBetweenOffsets(self, start, end):  # noqa: N802
-        return iter([(x,) for x in self._lines(start["at"], end["at"])])
+    def initialOffset(self):  # noqa: N802
+        return {}
+
+    def latestOffset(self):  # noqa: N802
+        return {p.name: self._whole_lines(str(p)) for p in sorted(Path(self.folder).glob("*.jsonl"))}
+
+    def partitions(self, start, end):
+        return [_Piece(str(Path(self.folder) / name), start.get(name, 0), size) for name, size in sorted(end.items()) if size > start.get(name, 0)] or [_Piece("", 0, 0)]
+
+    def read(self, partition):
+        if partition.end > partition.start:
+            with open(partition.path, "rb") as file:
+                file.seek(partition.start)
+                at = partition.start
+                for line in file:
+                    if at >= partition.end:
+                        return
+                    at += len(line)
+                    yield (line.rstrip(b"\r\n").decode(),)
 
     def commit(self, end) -> None:
         pass

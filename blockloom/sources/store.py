@@ -208,7 +208,8 @@ def compaction(m: Manifest, target: int = TARGET, amplification: float = AMPLIFI
     return None
 
 
-def _settled(m: Manifest, final: BlockRef | None, keep: int | None) -> Manifest:
+def settled(m: Manifest, final: BlockRef | None, keep: int | None) -> Manifest:
+    """With finality moved on and old chunks dropped."""
     m = finalize(m, final) if final is not None else m
     return retain(m, keep=keep) if keep is not None else m
 
@@ -300,17 +301,17 @@ class Store:
     def append(self, tables: Mapping[str, DataFrame], parent_hash: str, final: BlockRef | None = None, keep: int | None = None) -> Manifest:
         """A chunk after the head. Finality and retention that come with it are part of the same commit."""
         m = self.snapshot()
-        return self.commit(m, _settled(extend(m, self.put(tables, parent_hash)), final, keep))
+        return self.commit(m, settled(extend(m, self.put(tables, parent_hash)), final, keep))
 
     def fork(self, tables: Mapping[str, DataFrame], parent_hash: str, final: BlockRef | None = None, keep: int | None = None) -> Manifest:
         """A chunk in place of all from its first block on; likewise."""
         m = self.snapshot()
-        return self.commit(m, _settled(replace_fork(m, self.put(tables, parent_hash)), final, keep))
+        return self.commit(m, settled(replace_fork(m, self.put(tables, parent_hash)), final, keep))
 
     def settle(self, final: BlockRef | None = None, keep: int | None = None) -> Manifest:
         """Finality and retention without a chunk, in one commit."""
         m = self.snapshot()
-        new = _settled(m, final, keep)
+        new = settled(m, final, keep)
         return m if new == m else self.commit(m, new)
 
     def finalize(self, block: BlockRef) -> Manifest:

@@ -1,25 +1,31 @@
 """Ingest of block streams into a store: micro-batches, continuity, forks, finality, retention.
 
 ``Ingest.step`` pulls from a block source on the driver; ``start`` runs the same rules on a Structured Streaming query
-whose batches are JSON lines. Either way a batch becomes one chunk and one commit, and all state is in the manifest, so
-a lost driver or a repeated batch changes nothing.
+whose batches are JSON lines. Either way a batch becomes chunks of at most ``max_rows`` rows (a single block may have more) and one commit, finality and retention
+included; all state is in the manifest, so a lost driver or a repeated batch changes nothing. Blocks never come to the driver: their links are checked where they
+are written, and what comes are the ends of each chunk.
 """
 
 from __future__ import annotations
 
+import functools
 import json
+import operator
 from collections.abc import Mapping, Sequence
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from blockloom.catalog import camel
 from blockloom.errors import StoreConflict
+from blockloom.plans.execute import RANGE
+from blockloom.session import drop, materialize
 from blockloom.sources.blocks import Block, Fork, Source
-from blockloom.sources.store import BlockRef, Manifest, Store, rollback_point
+from blockloom.sources.store import BlockRef, Manifest, Store, extend, replace_fork, rollback_point, settled
 
 MAX_ROWS = 200_000
 
@@ -54,35 +60,49 @@ class Ingest:
 
     def apply_lines(self, lines: DataFrame) -> Manifest:
         """Commit linked blocks after the head, or in place of what is there from their first block on. Blocks that are
-        stored already are left out, so a repeated batch is harmless. Only numbers and hashes come to the driver."""
-        header = self.store.catalog.header
-        number = f"$.header.{camel(header.block)}"
-        numbered = lines.select("line", F.get_json_object("line", number).cast("long").alias("n"))
-        found = numbered.where("n is not null").select("n", F.get_json_object("line", "$.header.hash").alias("hash"), F.coalesce(F.get_json_object("line", "$.header.parentHash"), F.lit("")).alias("parent"), F.coalesce(F.get_json_object("line", "$.final") == "true", F.lit(False)).alias("final"))
-        refs = sorted(found.distinct().collect())
-        m = self.store.snapshot()
-        head = m.head
-        known = {c.last: c.last_hash for c in m.chunks}
-        if head and refs and refs[-1]["n"] <= head.number and known.get(refs[-1]["n"]) == refs[-1]["hash"]:
-            return self.store.settle(self._final(refs), self.keep)
-        if head:
-            fresh = [r for r in refs if r["n"] > head.number]
-            if fresh and fresh[0]["parent"] == head.hash:
-                refs = fresh
-        for a, b in zip(refs, refs[1:]):
-            if b["parent"] != a["hash"] or b["n"] <= a["n"]:
-                raise StoreConflict(f"block {b['n']} doesn't link to {a['n']}")
-        if not refs:
-            return m
-        chosen = numbered.where(F.col("n").between(refs[0]["n"], refs[-1]["n"])).dropDuplicates(["line"])
-        tables = batch_tables(self.store.spark, self.store, chosen, self.schemas)
-        put = self.store.append if head is None or (refs[0]["n"] > head.number and refs[0]["parent"] == head.hash) else self.store.fork
-        return put(tables, refs[0]["parent"], self._final(refs), self.keep)
+        stored already are left out, so a repeated batch is harmless."""
+        spark, header = self.store.spark, self.store.catalog.header
+        of = lambda path: F.get_json_object("line", path)
+        items = [self.store.catalog[t].item_name for t in self.schemas if t != header.name]
+        rows = functools.reduce(operator.add, [F.coalesce(F.json_array_length(of(f"$.{i}")), F.lit(0)) for i in items], F.lit(1)).cast("long")
+        read = lines.select("line", of(f"$.header.{camel(header.block)}").cast("long").alias("n"), of("$.header.hash").alias("hash"), F.coalesce(of("$.header.parentHash"), F.lit("")).alias("parent"), F.coalesce(of("$.final") == "true", F.lit(False)).alias("final"), rows.alias("rows"))
+        # In the order of numbers, so that a chunk reads only its own part of the file.
+        staged, path = materialize(read.where("n is not null").dropDuplicates(["n", "hash"]).repartitionByRange("n").sortWithinPartitions("n"))
+        try:
+            m = self.store.snapshot()
+            head, found = m.head, self._ends(staged, m.head)
+            if found["last"] is None:
+                return m
+            final = BlockRef(found["final"]["n"], found["final"]["hash"]) if found["final"] else None
+            if head and found["last"]["n"] <= head.number and {c.last: c.last_hash for c in m.chunks}.get(found["last"]["n"]) == found["last"]["hash"]:
+                return self.store.settle(final, self.keep)
+            follows = head is not None and found["fresh"] is not None and found["fresh"]["parent"] == head.hash
+            first = found["fresh"] if follows else found["first"]
+            new, parent = m, first["parent"]
+            for i, (low, high) in enumerate(self._cut(staged.where(F.col("n") >= first["n"]))):
+                tables = batch_tables(spark, self.store, staged.where(F.col("n").between(low, high)), self.schemas)
+                chunk = self.store.put(tables, parent)
+                new = extend(new, chunk) if i or head is None or follows else replace_fork(new, chunk)
+                parent = chunk.last_hash
+            return self.store.commit(m, settled(new, final, self.keep))
+        finally:
+            drop(spark, path)
 
     @staticmethod
-    def _final(refs: Sequence) -> BlockRef | None:
-        final = [r for r in refs if r["final"]]
-        return BlockRef(final[-1]["n"], final[-1]["hash"]) if final else None
+    def _ends(staged: DataFrame, head: BlockRef | None):
+        """The first and last block, the first one after the head, and the last final one."""
+        ref = F.struct("n", "hash", "parent")
+        above = F.col("n") > F.lit(head.number if head else -1)
+        return staged.agg(F.min(ref).alias("first"), F.max(ref).alias("last"), F.min(F.when(above, ref)).alias("fresh"), F.max(F.when(F.col("final"), ref)).alias("final")).first()
+
+    def _cut(self, staged: DataFrame) -> list[tuple[int, int]]:
+        """The first and last number of each chunk, by a running total in two levels; one row per chunk comes to the driver."""
+        per_block = staged.groupBy("n").agg(F.sum("rows").alias("rows")).withColumn("_range", F.floor(F.col("n") / RANGE))
+        ranges = per_block.groupBy("_range").agg(F.sum("rows").alias("_rows"))
+        before = ranges.select("_range", F.coalesce(F.sum("_rows").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+        within = F.coalesce(F.sum("rows").over(W.partitionBy("_range").orderBy("n").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+        placed = per_block.withColumn("_within", within).join(before, "_range").select("n", F.floor((F.col("_before") + F.col("_within")) / self.max_rows).alias("_chunk"))
+        return sorted((r["low"], r["high"]) for r in placed.groupBy("_chunk").agg(F.min("n").alias("low"), F.max("n").alias("high")).collect())
 
     def step(self, source: Source) -> str:
         """One round: ``grown``, ``rolled back`` (asks again from the common block) or ``idle``."""
@@ -138,14 +158,8 @@ class Ingest:
 
     def handle(self, batch: DataFrame, _: int) -> None:
         """A micro-batch of lines; it stays distributed."""
-        kept = batch.select("line").where("line is not null and line != \'\'").persist()
-        try:
-            self.apply_lines(kept)
-        finally:
-            kept.unpersist()
+        self.apply_lines(batch.select("line").where("line is not null and line != ''"))
 
     def start(self, lines: DataFrame, checkpoint: str, available_now: bool = True) -> StreamingQuery:
         writer = lines.writeStream.foreachBatch(self.handle).option("checkpointLocation", checkpoint)
         return (writer.trigger(availableNow=True) if available_now else writer).start()
-
-

@@ -213,6 +213,33 @@ def test_structured_streaming(spark, store, tmp_path):
     assert numbers(store) == [f"a{n}" for n in range(5)]  # a repeated delivery changes nothing
 
 
+def test_a_large_batch_becomes_several_chunks_and_one_commit(store):
+    chain = [block(n, parent="" if n == 0 else None, final=n < 7) for n in range(10)]
+    before = len(store.versions())
+    Ingest(store, SCHEMAS, max_rows=8).apply([Block(b) for b in chain])
+    m = store.snapshot()
+    assert len(store.versions()) == before + 1 and len(m.chunks) > 2 and m.finalized == st.BlockRef(6, "a6")
+    assert [c.first for c in m.chunks[1:]] == [c.last + 1 for c in m.chunks[:-1]]
+    assert numbers(store) == [f"a{n}" for n in range(10)]
+    with pytest.raises(StoreConflict):  # a broken link anywhere commits nothing
+        Ingest(store, SCHEMAS, max_rows=8).apply([Block(b) for b in [block(10), block(11), block(12, parent="zz"), block(13)]])
+    assert store.snapshot() == m
+    assert store.block_by_hash("a4") == st.BlockRef(4, "a4") and store.block_by_hash("a77") is None
+
+
+def test_half_of_the_sources_report_a_fork():
+    """Not most of them: it counts once they have said so for long enough."""
+    chain = [block(n, parent="" if n == 0 else None) for n in range(3)]
+    other = [*chain[:2], block(2, "x", "a1")]
+    now = [0.0]
+    both = arbitrate([from_lines(lines(chain)), from_lines(lines(other))], clock=lambda: now[0])
+    assert list(both(3, "a2")) == []
+    now[0] = 1.9
+    assert list(both(3, "a2")) == []
+    now[0] = 2.1
+    assert isinstance(next(iter(both(3, "a2"))), Fork)
+
+
 def test_sources():
     chain = [block(n, parent="" if n == 0 else None) for n in range(4)]
     good, short = from_lines(lines(chain)), from_lines(lines(chain[:2]))
