@@ -160,6 +160,29 @@ def bloom_probe(spark: SparkSession, root: str) -> DataFrame:
     return df.where(Bloom("accounts_bloom", wanted).on(df)).select("block_number", "transaction_index")
 
 
+@_query("SELECT 0 AS missed, true AS few_false FROM sol_transactions HAVING count(*) > 0")
+def bloom_errors(spark: SparkSession, root: str) -> DataFrame:
+    """Over all rows: how many that hold one of the accounts the filter misses (none), and whether at most one in fifty of the others passes it."""
+    df, wanted = _accounts(spark, root)
+    passes, holds = Bloom("accounts_bloom", wanted).on(df), F.coalesce(ContainsAny("account_keys", wanted).on(df), F.lit(False))
+    counts = df.agg(F.count(F.lit(1)).alias("n"), F.count_if(holds & ~F.coalesce(passes, F.lit(False))).cast("int").alias("missed"), F.count_if(passes & ~holds).alias("false"), F.count_if(~holds).alias("others"))
+    return counts.where("n > 0").select("missed", (F.col("false") * 50 <= F.col("others")).alias("few_false"))
+
+
+@_query("SELECT block_number, transaction_index, fee_payer AS text FROM sol_transactions")
+def base58_round_trip(spark: SparkSession, root: str) -> DataFrame:
+    """Base58 text decoded and encoded again."""
+    raw = base58.decode_column(F.col("fee_payer"))
+    return load(spark, root, "sol_transactions").select("block_number", "transaction_index", base58.encode_column(raw).alias("text"))
+
+
+@_query("SELECT block_number, transaction_index, CASE WHEN signatures IS NULL THEN 'null' ELSE '[' || coalesce(array_to_string(list_transform(signatures, lambda y: coalesce(y, 'null')), ','), '') || ']' END AS spliced FROM sol_transactions")
+def list_of_json(spark: SparkSession, root: str) -> DataFrame:
+    """A list whose elements are rendered by an expression of their own, here spliced as they are."""
+    df = load(spark, root, "sol_transactions")
+    return df.select("block_number", "transaction_index", _column(df, "signatures", exp.ListOf(exp.Json())).alias("spliced"))
+
+
 @_query("SELECT block_number, transaction_index FROM sol_transactions WHERE list_contains(account_keys, (SELECT min(fee_payer) FROM sol_transactions)) OR list_contains(account_keys, (SELECT max(fee_payer) FROM sol_transactions))")
 def bloom_recheck(spark: SparkSession, root: str) -> DataFrame:
     """The filter first, then the list itself: exact."""

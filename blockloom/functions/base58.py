@@ -40,6 +40,14 @@ def decode_column(text: Column) -> Column:
     return run(text)
 
 
+def encode_column(raw: Column) -> Column:
+    @F.arrow_udf("string")
+    def run(values: pa.Array) -> pa.Array:
+        return pa.array([None if v is None else encode(v) for v in values.to_pylist()], type=pa.string())
+
+    return run(raw)
+
+
 def prefix_columns(raw: Column, longest: int = 16) -> dict[str, Column]:
     """d1..d16 of a binary column: unsigned numbers for 1, 2, 4 and 8 bytes, bytes otherwise; null if too short."""
     out = {}
