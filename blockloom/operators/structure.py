@@ -23,6 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -183,11 +184,10 @@ def index(texts: pa.Array) -> Index:
     colon = char[after] == ord(":")
     previous = np.r_[0, at[:-1] + 1] if n else np.zeros(0, dtype=np.int64)
     name_begin, name_end = _trim(buffer, previous[after[colon]], at[after[colon]])
-    table: dict[bytes, int] = {}
-    data = buffer.tobytes()
-    numbers = [table.setdefault(data[b + 1 : e - 1], len(table)) for b, e in zip(name_begin.tolist(), name_end.tolist())]
+    spelled = _gathered(buffer, np.minimum(name_begin + 1, name_end), np.maximum(name_end - 1, np.minimum(name_begin + 1, name_end)))[0].dictionary_encode()
+    table = spelled.dictionary.to_pylist()
     member = np.full(len(after), -1, dtype=np.int64)
-    member[colon] = numbers
+    member[colon] = spelled.indices.to_numpy()
     name = np.concatenate([np.full(len(roots), -1), member]).astype(np.int64)
     return Index(rows, parent, place, name, kind, begins, ends, [decode(x, True) for x in table], buffer)
 
@@ -211,18 +211,28 @@ def paths(ix: Index) -> tuple[np.ndarray, list[tuple[str | None, ...]]]:
         number[ready] = np.array(ids, dtype=np.int64)[inverse]
 
 
-def _strings(ix: Index, values: np.ndarray) -> pa.Array:
-    """The texts of values, gathered without a loop unless a string has escapes."""
-    begin, size = ix.begin[values], ix.end[values] - ix.begin[values]
+def _gathered(buffer: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """The bytes between begins and ends, and which of them have a backslash; without a loop."""
+    size = end - begin
     ends = np.cumsum(size)
     total = int(ends[-1]) if len(ends) else 0
-    gather = np.arange(total) + np.repeat(begin - (ends - size), size)
-    data = ix.buffer[gather]
-    escaped = data == ord("\\")
-    if escaped.any():
+    data = buffer[np.arange(total) + np.repeat(begin - (ends - size), size)]
+    slashes = np.r_[0, np.cumsum(data == ord("\\"))]
+    offsets = np.r_[0, ends].astype(np.int64)
+    array = pa.Array.from_buffers(pa.large_binary(), len(begin), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data.tobytes())])
+    return array, slashes[offsets[1:]] > slashes[offsets[:-1]]
+
+
+def _strings(ix: Index, values: np.ndarray) -> pa.Array:
+    """The texts of values; only those with escapes, or bytes that are no text, are decoded one by one."""
+    raw, escaped = _gathered(ix.buffer, ix.begin[values], ix.end[values])
+    try:
+        texts = raw.cast(pa.string())
+    except pa.ArrowInvalid:
         return pa.array([ix.text(i) for i in values.tolist()], type=pa.string())
-    offsets = np.r_[0, ends].astype(np.int32)
-    return pa.Array.from_buffers(pa.string(), len(values), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data.tobytes())])
+    if not escaped.any():
+        return texts
+    return pc.replace_with_mask(texts, pa.array(escaped), pa.array([ix.text(i) for i in values[escaped].tolist()], type=pa.string()))
 
 
 FLAT_FIELDS = "child string, parent_pos int, pos int, value string"
