@@ -26,7 +26,7 @@ import functools
 import json
 import re
 from collections import Counter
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -335,12 +335,29 @@ def changes(lines: DataFrame, files: DataFrame | None = None) -> DataFrame:
 # One table -----------------------------------------------------------------------------------------------------
 
 
-def lineages(pairs: Sequence[tuple[str, str, str]], names: Sequence[tuple[str, str]], target: Sequence[str]) -> dict[tuple[str, str], str]:
-    """(feed, name) to canonical field. ``pairs``: (feed, old name, new name), ``names``: (feed, name).
+#: The least likeness of a feed's name and a field of the target that it never has under the target's own name.
+MEANT = 0.5
+
+
+@functools.lru_cache(1 << 12)
+def meant(names: tuple[str, ...], free: tuple[tuple[str, str], ...]) -> dict[str, str]:
+    """Name to target field: flooding of the target's fields against a feed's other names; each other's best among the ``free`` pairs
+    (target field, name), and alike."""
+    fit = [(x, y) for x, y in free if likeness(x, y) >= MEANT]
+    if not fit:
+        return {}
+    score = flood(dict.fromkeys(sorted({x for x, _ in free})), dict.fromkeys(names), {})
+    best_name = {x: max((p for p in fit if p[0] == x), key=lambda p: (score[p], p)) for x, _ in fit}
+    best_field = {y: max((p for p in fit if p[1] == y), key=lambda p: (score[p], p)) for _, y in fit}
+    return {y: x for x, y in fit if best_name[x] == best_field[y] == (x, y)}
+
+
+def lineages(pairs: Sequence[tuple[str, str, str]], names: Mapping[tuple[str, str], frozenset[int]], target: Sequence[str]) -> dict[tuple[str, str], str]:
+    """(feed, name) to canonical field. ``pairs``: (feed, old name, new name), ``names``: the files of each (feed, name).
 
     Names that correspond within a feed are one field: the target's among them, else the least name. A field that has no name of the target takes
-    the one that all other feeds give its names, if its own feed has no other field of that name. So a name that stands for two things in two
-    feeds doesn't unite them.
+    the one that all other feeds give its names, if its own feed has no other field of that name, or else the one that flooding finds
+    among those that no file has beside it. So a name that stands for two things in two feeds doesn't unite them.
     """
     above: dict[tuple[str, str], tuple[str, str]] = {}
     wanted = set(target)
@@ -373,6 +390,17 @@ def lineages(pairs: Sequence[tuple[str, str, str]], names: Sequence[tuple[str, s
         found = borrowed.get((feed, f), set())
         if len(found) == 1 and (feed, next(iter(found))) not in has:
             field[feed, name] = next(iter(found))
+    by_feed: dict[str, dict[str, list[str]]] = {}
+    for (feed, name), f in field.items():
+        by_feed.setdefault(feed, {}).setdefault(f, []).append(name)
+    for feed, own in by_feed.items():
+        files = {f: frozenset().union(*(names.get((feed, n), frozenset()) for n in of)) for f, of in own.items()}
+        left = {name: f for f, of in own.items() if f not in wanted for name in of}
+        free = tuple((t, name) for t in target for name in sorted(left) if not files.get(t, frozenset()) & files[left[name]])
+        for name, t in sorted(meant(tuple(sorted(left)), free).items()):
+            if not files.get(t, frozenset()) & files[left[name]]:  # another one may have come in between
+                files[t] = files.get(t, frozenset()) | files[left[name]]
+                field.update({(feed, n): t for n in own[left[name]]})
     return field
 
 
@@ -399,10 +427,10 @@ def united(lines: DataFrame, renames: DataFrame, record_key: Sequence[str], targ
     values = exploded(lines, "feed", "file_no", "line_no", "rec")
     kept = renames.where("change = 'renamed'") if "change" in renames.columns else renames
     pairs = [tuple(r) for r in kept.select("feed", "old_name", "new_name").distinct().limit(most + 1).collect()]
-    names = [tuple(r) for r in values.select("feed", "name").distinct().limit(most + 1).collect()]
+    names = {(r["feed"], r["name"]): frozenset(r["files"]) for r in values.groupBy("feed", "name").agg(F.collect_set("file_no").alias("files")).limit(most + 1).collect()}
     if len(pairs) > most or len(names) > most:
         raise ValueError(f"more than {most} names; raise the bound or split the feeds by kind")
-    canonical = lineages(sorted(pairs), sorted(names), [*record_key, *target])
+    canonical = lineages(sorted(pairs), names, [*record_key, *target])
     fields = [*target, *sorted({canonical[n] for n in names} - set(target) - set(record_key))]
     mapping = lines.sparkSession.createDataFrame([(*n, canonical[n]) for n in names], "feed string, name string, field string")
     known = values.where(F.col("rec").isNotNull() & F.col("value").isNotNull()).join(F.broadcast(mapping), ["feed", "name"])  # bounded by most

@@ -84,6 +84,15 @@ def test_one_name_for_two_things_in_two_feeds(spark):
     assert got == {0: (1, None), 1: (2, None), 2: (3, None), 10: (7, "100"), 11: (8, "101")}
 
 
+def test_a_target_field_that_a_feed_only_has_under_other_names(spark):
+    """Flooding against the target; where a file has the field itself beside it, a like name stays what it is."""
+    files = {("c", 1): [_tx(20, cost_units=7)], ("c", 2): [_tx(21)], ("c", 3): [_tx(22, costUnits=8)], ("a", 1): [_tx(0, meta={"cost_units": 5}, fee=1, feeUsd=2)], ("a", 2): [_tx(1, costUnits=6, fee=1)], ("b", 1): [_tx(9, cost_units=1, usage={"cost_units": 2})]}
+    lines = _parsed(_rows(spark, files))
+    table = drift.unify(lines, drift.matches(lines), drift.TRANSACTION_KEY, drift.TRANSACTION_FIELDS)
+    got = {r["transaction_index"]: (r["cost_units"], r["fee"], r["feeUsd"], r["usage_cost_units"]) for r in table.collect()}
+    assert got == {0: (5, 1, "2", None), 1: (6, 1, None, None), 9: (1, None, None, "2"), 20: (7, None, None, None), 21: (None, None, None, None), 22: (8, None, None, None)}
+
+
 def test_many_names_of_equal_values_are_not_compared_pairwise(spark):
     wide = lambda p: {f"{p}{i}": i for i in range(60)}
     files = {("a", 1): [_tx(1, **wide("old")), _tx(2, **wide("old"))], ("a", 2): [_tx(1, **wide("fresh")), _tx(2, **wide("fresh"))]}
