@@ -190,7 +190,33 @@ _P4 = """WITH v AS (SELECT r.feed, r.file_no, r.line_no, substr(t.fullkey, 3) AS
   UNION ALL SELECT feed, file_no, 'added', '', name FROM d WHERE came AND NOT EXISTS (SELECT 1 FROM m WHERE m.feed = d.feed AND m.file_no = d.file_no AND m.new_name = d.name)
   UNION ALL SELECT feed, file_no, 'retyped', name, name FROM d WHERE NOT gone AND NOT came AND old_kinds <> '' AND kinds <> '' AND old_kinds <> kinds"""
 
+#: What the names of sf0.01 stand for beside the documented fields; last parts without underlines and case.
+_MEANING = {"costunits": "cost_units", "computeunitsconsumed": "compute_units_consumed", "clientoid": "cloid", "twap": "twap_id", "twapid": "twap_id", "parenttwap": "twap_id"}
+
+
+def _united_sql(key: tuple[str, str], fields: dict[str, str], lost: str | None = None) -> str:
+    """One table of a kind by these meanings: each record's last value of each field, cast to its type; ``lost``: the name of the kind, for
+    the number of values of each field that can't be cast."""
+    meaning = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _MEANING.items())
+    text = "CASE WHEN json_type(value) = 'ARRAY' AND json_array_length(value) = 1 THEN value ->> '$[0]' ELSE value ->> '$' END"
+    number = "CASE WHEN regexp_matches(x, '^-?[0-9]+$') THEN CAST(x AS BIGINT) WHEN regexp_matches(x, '^0[xX][0-9a-fA-F]{1,15}$') THEN CAST(lower(x) AS BIGINT) WHEN TRY_CAST(x AS DOUBLE) = floor(TRY_CAST(x AS DOUBLE)) THEN CAST(TRY_CAST(x AS DOUBLE) AS BIGINT) END"
+    truth = "CASE WHEN lower(trim(x)) IN ('true', '1', '1.0', 'yes', 't', 'y') THEN true WHEN lower(trim(x)) IN ('false', '0', '0.0', 'no', 'f', 'n') THEN false END"
+    casts = {"string": "x", "long": number, "double": "TRY_CAST(x AS DOUBLE)", "boolean": truth, "array<string>": "CASE WHEN json_type(value) = 'ARRAY' THEN CAST(value AS VARCHAR[]) ELSE [value ->> '$'] END"}
+    columns = ", ".join(f"max({casts[kind]}) FILTER (field = '{name}') AS {name}" for name, kind in fields.items())
+    failed = " ".join(f"WHEN '{name}' THEN ({casts[kind]}) IS NULL" for name, kind in fields.items())
+    result = f"SELECT k0 AS {key[0]}, k1 AS {key[1]}, {columns} FROM l GROUP BY 1, 2" if lost is None else f"SELECT '{lost}' AS kind, field, count(*) AS n FROM l WHERE CASE field {failed} ELSE false END GROUP BY 2"
+    return f"""WITH v AS (SELECT r.file_no, r.line_no, CAST(r.payload ->> '$.{key[0]}' AS BIGINT) AS k0, CAST(r.payload ->> '$.{key[1]}' AS BIGINT) AS k1, substr(t.fullkey, 3) AS name, t.value
+        FROM (SELECT * FROM raw_files WHERE json_valid(payload) AND json_type(payload) = 'OBJECT' AND (payload ->> '$.{key[1]}') IS NOT NULL) r, json_tree(r.payload) t WHERE t.type NOT IN ('OBJECT', 'NULL') AND t.fullkey NOT LIKE '%[%'),
+      n AS (SELECT *, lower(replace(regexp_replace(name, '^.*\.', ''), '_', '')) AS short FROM v),
+      f AS (SELECT *, CASE short {meaning} ELSE regexp_replace(name, '^.*\.', '') END AS field FROM n),
+      l AS (SELECT k0, k1, field, value, {text} AS x FROM f QUALIFY row_number() OVER (PARTITION BY k0, k1, field ORDER BY file_no DESC, line_no DESC, name DESC) = 1)
+      {result}"""
+
+
 SQL: dict[str, str] = {
+    "p4_transactions": _united_sql(drift.TRANSACTION_KEY, drift.TRANSACTION_FIELDS),
+    "p4_fills": _united_sql(drift.FILL_KEY, drift.FILL_FIELDS),
+    "p4_uncastable": f"SELECT * FROM ({_united_sql(drift.TRANSACTION_KEY, drift.TRANSACTION_FIELDS, 'transaction')}) UNION ALL SELECT * FROM ({_united_sql(drift.FILL_KEY, drift.FILL_FIELDS, 'fill')})",
     "p4_found": _P4,
     "p2_found": f"{_T} {_P2}",
     "p2_lookup_indexes": f"""{_T}, f AS ({_P2}) SELECT c.block_number, c.transaction_index, c.parent_pos, c.pos, c.child = 'lookup_writable' AS writable, p.value AS account_key, CAST(c.value AS INTEGER) AS "index"
