@@ -207,8 +207,8 @@ def _united_sql(key: tuple[str, str], fields: dict[str, str], lost: str | None =
     result = f"SELECT k0 AS {key[0]}, k1 AS {key[1]}, {columns} FROM l GROUP BY 1, 2" if lost is None else f"SELECT '{lost}' AS kind, field, count(*) AS n FROM l WHERE CASE field {failed} ELSE false END GROUP BY 2"
     return f"""WITH v AS (SELECT r.file_no, r.line_no, CAST(r.payload ->> '$.{key[0]}' AS BIGINT) AS k0, CAST(r.payload ->> '$.{key[1]}' AS BIGINT) AS k1, substr(t.fullkey, 3) AS name, t.value
         FROM (SELECT * FROM raw_files WHERE json_valid(payload) AND json_type(payload) = 'OBJECT' AND (payload ->> '$.{key[1]}') IS NOT NULL) r, json_tree(r.payload) t WHERE t.type NOT IN ('OBJECT', 'NULL') AND t.fullkey NOT LIKE '%[%'),
-      n AS (SELECT *, lower(replace(regexp_replace(name, '^.*\.', ''), '_', '')) AS short FROM v),
-      f AS (SELECT *, CASE short {meaning} ELSE regexp_replace(name, '^.*\.', '') END AS field FROM n),
+      n AS (SELECT *, lower(replace(regexp_replace(name, '^.*[.]', ''), '_', '')) AS short FROM v),
+      f AS (SELECT *, CASE short {meaning} ELSE regexp_replace(name, '^.*[.]', '') END AS field FROM n),
       l AS (SELECT k0, k1, field, value, {text} AS x FROM f QUALIFY row_number() OVER (PARTITION BY k0, k1, field ORDER BY file_no DESC, line_no DESC, name DESC) = 1)
       {result}"""
 

@@ -41,7 +41,7 @@ def _logs(spark: SparkSession, root: str) -> tuple[DataFrame, int, int, int]:
     """Distinct logs with the first, middle and last block."""
     logs = load(spark, root, "evm_logs").select(*_LOGS).distinct()
     lo, hi = logs.agg(F.min("block_number"), F.max("block_number")).first()
-    return logs, lo, lo + (hi - lo) // 2, hi
+    return logs, lo, None if lo is None else lo + (hi - lo) // 2, hi
 
 
 def _chunk(spark: SparkSession, logs: DataFrame, first: int, last: int, fork_at: int | None = None) -> dict[str, DataFrame]:
@@ -55,6 +55,8 @@ def _chunk(spark: SparkSession, logs: DataFrame, first: int, last: int, fork_at:
 def store_fork_snapshot(spark: SparkSession, root: str) -> DataFrame:
     """Two chunks; the first becomes final, the second is replaced by a fork that lacks logs without topic0."""
     logs, lo, mid, hi = _logs(spark, root)
+    if lo is None:
+        return logs.withColumn("snapshot", F.lit("now"))
     store = _store(spark)
     store.append(_chunk(spark, logs, lo, mid - 1), f"h{lo - 1}")
     old = store.append(_chunk(spark, logs, mid, hi), f"h{mid - 1}")
@@ -77,6 +79,8 @@ def _append_merged(spark: SparkSession, store: Store, logs: DataFrame, first: in
 def store_compaction(spark: SparkSession, root: str) -> DataFrame:
     """Four chunks of each half of the blocks merged into one, then all trimmed to the later half: blocks with their number of logs."""
     logs, lo, mid, hi = _logs(spark, root)
+    if lo is None:
+        return logs.groupBy("block_number").agg(F.count(F.lit(1)).alias("n"), F.lit(0).alias("chunks"))
     store = _store(spark)
     for first, last in ((lo, mid - 1), (mid, hi)):
         _append_merged(spark, store, logs, first, last)
@@ -88,6 +92,8 @@ def store_compaction(spark: SparkSession, root: str) -> DataFrame:
 def stream_ingest(spark: SparkSession, root: str) -> DataFrame:
     """Blocks as JSON lines in two deliveries, the second with the first one's last block again, by Structured Streaming into a store."""
     logs, lo, mid, hi = _logs(spark, root)
+    if lo is None:
+        return logs
     store, folder = _store(spark), _folder(spark, "lines")
     ingest = Ingest(store, _SCHEMAS)
     item = F.struct(F.col("log_index").alias("logIndex"), F.col("transaction_index").alias("transactionIndex"), "address", "topic0")
