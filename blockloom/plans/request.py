@@ -66,7 +66,7 @@ def one_of(column: str, *values: str) -> Filter:
 def bloom(column: str) -> Filter:
     def make(v: Sequence[str]) -> Predicate:
         if len(v) > 10:
-            raise QueryError(f"filter has {len(v)} cases, but maximum is 10")
+            raise QueryError(f"lists {len(v)} accounts; ten at most can be looked for")
         return Bloom(column, tuple(v))
 
     return Filter("strings", make)
@@ -257,7 +257,7 @@ def validate(dialect: Dialect, body: dict[str, Any]) -> Query:
             raise QueryError(f"unknown field '{k}'")
     first = _integer(body.get("fromBlock", 0), "fromBlock")
     if body.get("toBlock") is not None and _integer(body["toBlock"], "toBlock") < first:
-        raise QueryError('got "toBlock" < "fromBlock"')
+        raise QueryError("the range is empty: 'toBlock' lies below 'fromBlock'")
     if not isinstance(body.get("includeAllBlocks", False), bool):
         raise QueryError("'includeAllBlocks' must be a boolean")
     if not isinstance(body.get("parentBlockHash"), (str, type(None))):
@@ -299,9 +299,9 @@ def validate(dialect: Dialect, body: dict[str, Any]) -> Query:
                     raise QueryError(f"unknown field '{name}[{i}].{k}'")
             both = [k for k in request.exclusive if one.get(k) is not None]
             if len(both) > 1:
-                raise QueryError(f"invalid request at '.{name}[{i}]': '{both[0]}' and '{both[1]}' filters can't be specified simultaneously")
+                raise QueryError(f"'{name}[{i}]' asks for both '{both[0]}' and '{both[1]}', which are alternatives")
     if count > MAX_REQUESTS:
-        raise QueryError(f"query contains {count} item requests, but only {MAX_REQUESTS} is allowed")
+        raise QueryError(f"{count} requests for items in one query; the limit is {MAX_REQUESTS}")
     return Query(dialect, body)
 
 
