@@ -290,3 +290,20 @@ def test_archive(spark, tmp_path):
         archive.tables(["logs"], 99)
     with pytest.raises(OSError):
         archive.write(tables(0, 10), 0, 9, "0xabcdef0120")
+
+
+def test_physical_options(spark, tmp_path):
+    """Row groups by rows, columns without dictionary, filters: as asked, and the rows are the same."""
+    import pyarrow.parquet as pq
+
+    from blockloom.sources.layout import write_table
+
+    df = spark.range(10_000).select("id", F.concat(F.lit("h"), F.col("id")).alias("hash"), (F.col("id") % 7).cast("string").alias("kind"))
+    write_table(df, f"file://{tmp_path}/t", ["id"], partitions=1, group_rows=1000, plain=["hash"], bloom=["hash"], level=5)
+    files = sorted((tmp_path / "t").glob("*.parquet"))
+    meta = pq.ParquetFile(files[0]).metadata
+    groups = [meta.row_group(i) for i in range(meta.num_row_groups)]
+    assert len(files) == 1 and max(g.num_rows for g in groups) <= 1000 and sum(g.num_rows for g in groups) == 10_000
+    column = {groups[0].column(i).path_in_schema: groups[0].column(i) for i in range(3)}
+    assert column["kind"].has_dictionary_page and not column["hash"].has_dictionary_page and column["id"].compression == "ZSTD"
+    assert spark.read.parquet(f"file://{tmp_path}/t").where("hash = 'h77'").collect() == df.where("id = 77").collect()
