@@ -1,7 +1,7 @@
-"""Where new blocks come from: JSON-lines files, HTTP endpoints, several of them at once.
+"""Where new blocks come from: JSON lines in files, in memory or in a table, HTTP endpoints, several of them at once.
 
-A source is asked for the blocks from a number on, with the hash the block before must have. It yields blocks, or says
-that its chain forks off and names blocks of its own below.
+A source is asked for the blocks from a number on, with the hash the block before must have. It yields blocks, or a table of
+them, or says that its chain forks off and names blocks of its own below.
 """
 
 from __future__ import annotations
@@ -16,6 +16,8 @@ from dataclasses import dataclass
 from pathlib import Path
 from typing import Any
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
 from blockloom.sources.store import BlockRef
@@ -57,7 +59,17 @@ class Fork:
     previous: tuple[BlockRef, ...]
 
 
-Source = Callable[[int, "str | None"], Iterator["Block | Fork"]]
+@dataclass(frozen=True)
+class Lines:
+    """All blocks from the asked one on as JSON lines (column ``line``), which stay distributed."""
+
+    table: DataFrame
+
+
+Source = Callable[[int, "str | None"], Iterator["Block | Lines | Fork"]]
+
+#: Fixed value: blocks that a fork names, the highest ones below the asked one.
+NAMED = 100
 
 
 def from_lines(lines: Iterable[str]) -> Source:
@@ -70,13 +82,32 @@ def from_lines(lines: Iterable[str]) -> Source:
         other_parent = ahead and blocks[ahead[0]].parent_hash != parent
         other_head = first - 1 in blocks and blocks[first - 1].ref.hash != parent
         if parent is not None and (other_parent or other_head):
-            yield Fork(tuple(blocks[n].ref for n in numbers if n < first)[-100:])
+            yield Fork(tuple(blocks[n].ref for n in numbers if n < first)[-NAMED:])
             return
         yield from (blocks[n] for n in ahead)
 
     return read
 
 
+def from_table(blocks: DataFrame) -> Source:
+    """A source over a table of blocks: number, hash, parent_hash and the block as JSON (``line``), a row for each number. Whether its chain forks
+    off takes one row on the driver, and a fork the refs that it names; blocks never come there, however many are asked for."""
+    refs = blocks.select("number", "hash", "parent_hash")
+
+    def read(first: int, parent: str | None) -> Iterator[Lines | Fork]:
+        ahead = F.min(F.when(F.col("number") >= first, F.struct("number", "parent_hash")))
+        found = refs.agg(ahead.alias("ahead"), F.max(F.when(F.col("number") == first - 1, F.col("hash"))).alias("below")).first()
+        other_parent = found["ahead"] is not None and found["ahead"]["parent_hash"] != parent
+        other_head = found["below"] is not None and found["below"] != parent
+        if parent is not None and (other_parent or other_head):
+            previous = refs.where(F.col("number") < first).orderBy(F.desc("number")).limit(NAMED).collect()
+            yield Fork(tuple(BlockRef(r["number"], r["hash"]) for r in reversed(previous)))
+        elif found["ahead"] is not None:
+            yield Lines(blocks.where(F.col("number") >= first).select("line"))
+
+    return read
+
+
 def from_http(url: str, timeout: float = 30.0) -> Source:
     """POST <url>/stream with the first block and the parent's hash: 200 lines of blocks, 204 nothing yet, 409 fork."""
 
@@ -100,17 +131,19 @@ def from_http(url: str, timeout: float = 30.0) -> Source:
 
 
 def mapped(source: Source, change: Callable[[Block], Block]) -> Source:
-    """Another source with its blocks changed."""
+    """Another source with its blocks changed; it must yield them one by one."""
 
     def read(first: int, parent: str | None) -> Iterator[Block | Fork]:
         for x in source(first, parent):
+            if isinstance(x, Lines):
+                raise TypeError("blocks of a table can't be changed one by one")
             yield change(x) if isinstance(x, Block) else x
 
     return read
 
 
 def linked(source: Source) -> Source:
-    """Blocks as long as each links to the one before it and goes up; what doesn't is left out with all after it."""
+    """Blocks as long as each links to the one before it and goes up; what doesn't is left out with all after it. The source must yield them one by one."""
 
     def read(first: int, parent: str | None) -> Iterator[Block | Fork]:
         at, expected = first - 1, parent
@@ -118,6 +151,8 @@ def linked(source: Source) -> Source:
             if isinstance(x, Fork):
                 yield x
                 return
+            if isinstance(x, Lines):
+                raise TypeError("blocks of a table can't be followed one by one")
             if x.number <= at:
                 continue  # repeated
             if expected is not None and x.parent_hash != expected:

@@ -6,7 +6,7 @@ import json
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from blockloom.catalog import Catalog, TableDef
@@ -16,8 +16,8 @@ from blockloom.operators.predicates import Eq
 from blockloom.plans.execute import Execution, Tables
 from blockloom.plans.plan import PlanBuilder
 from blockloom.plans.request import parse
-from blockloom.session import shared_folder
-from blockloom.sources.blocks import from_lines
+from blockloom.session import drop, materialize, shared_folder
+from blockloom.sources.blocks import from_table
 from blockloom.sources.layout import Archive
 from blockloom.sources.sinks import flat_rows, write_lines
 from blockloom.sources.store import BlockRef, Store
@@ -39,16 +39,20 @@ def _store(spark: SparkSession) -> Store:
 
 def _logs(spark: SparkSession, root: str) -> tuple[DataFrame, int, int, int]:
     """Distinct logs with the first, middle and last block."""
-    logs = load(spark, root, "evm_logs").select(*_LOGS).distinct()
+    logs = load(spark, root, "evm_logs").select(*_LOGS)
     lo, hi = logs.agg(F.min("block_number"), F.max("block_number")).first()
-    return logs, lo, None if lo is None else lo + (hi - lo) // 2, hi
+    return logs.distinct(), lo, None if lo is None else lo + (hi - lo) // 2, hi
+
+
+def _header(n: Column, fork_at: int | None = None) -> list[Column]:
+    """A block's number, hash and parent's hash, made from its number; from ``fork_at`` on they are of another chain."""
+    name = lambda n: F.concat(F.lit("h") if fork_at is None else F.when(n >= fork_at, "g").otherwise("h"), n.cast("string"))
+    return [n.alias("number"), name(n).alias("hash"), name(n - 1).alias("parent_hash")]
 
 
 def _chunk(spark: SparkSession, logs: DataFrame, first: int, last: int, fork_at: int | None = None) -> dict[str, DataFrame]:
     """All blocks of a range, linked by hashes made from their numbers; from ``fork_at`` on they are of another chain."""
-    name = lambda n: F.concat(F.when(n >= (fork_at if fork_at is not None else last + 1), "g").otherwise("h"), n.cast("string"))
-    n = F.col("id")
-    blocks = spark.range(first, last + 1).select(n.alias("number"), name(n).alias("hash"), name(n - 1).alias("parent_hash"))
+    blocks = spark.range(first, last + 1).select(*_header(F.col("id"), fork_at))
     return {"blocks": blocks, "logs": logs.where(F.col("block_number").between(first, last))}
 
 
@@ -183,22 +187,27 @@ def rolled_back_ingest(spark: SparkSession, root: str) -> DataFrame:
     if lo is None:
         return logs
     item = F.struct(F.col("log_index").alias("logIndex"), F.col("transaction_index").alias("transactionIndex"), "address", "topic0")
-    per_block = logs.groupBy("block_number").agg(F.array_sort(F.collect_list(item)).alias("logs"))
+    # Copies go with the grouping, so that logs are shuffled once.
+    per_block = load(spark, root, "evm_logs").groupBy("block_number").agg(F.array_sort(F.collect_set(item)).alias("logs"))
+    every = spark.range(lo, hi + 1).join(per_block, F.col("id") == F.col("block_number"), "left")
+    held, path = materialize(every.select(F.col("id").alias("number"), F.coalesce("logs", F.array().cast(per_block.schema["logs"].dataType)).alias("logs")))
 
     def source(fork_at: int | None):
-        blocks = _chunk(spark, logs, lo, hi, fork_at)["blocks"]
-        kept = blocks.join(per_block, blocks["number"] == per_block["block_number"], "left")
+        kept = F.col("logs")
         if fork_at is not None:  # the other chain lacks logs without a topic
-            kept = kept.withColumn("logs", F.when(F.col("number") < fork_at, F.col("logs")).otherwise(F.filter("logs", lambda x: x["topic0"].isNotNull())))
+            kept = F.when(F.col("number") < fork_at, kept).otherwise(F.filter(kept, lambda x: x["topic0"].isNotNull()))
+        blocks = held.select(*_header(F.col("number"), fork_at), kept.alias("logs"))
         header = F.struct("number", "hash", F.col("parent_hash").alias("parentHash")).alias("header")
-        lines = kept.select("number", F.to_json(F.struct(header, F.coalesce("logs", F.array().cast(per_block.schema["logs"].dataType)).alias("logs"))).alias("line"))
-        return from_lines(r["line"] for r in lines.orderBy("number").toLocalIterator())  # a source serves from the driver
-
-    store = _store(spark)
-    ingest = Ingest(store, _SCHEMAS, max_rows=max(2, logs.count() // 3))
-    for chain in (source(None), source(mid)):
-        while ingest.step(chain) != "idle":
-            pass
+        return from_table(blocks.select("number", "hash", "parent_hash", F.to_json(F.struct(header, "logs")).alias("line")))
+
+    try:
+        store = _store(spark)
+        ingest = Ingest(store, _SCHEMAS, max_rows=max(2, held.agg(F.sum(F.size("logs"))).first()[0] // 3))
+        for chain in (source(None), source(mid)):
+            while ingest.step(chain) != "idle":
+                pass
+    finally:
+        drop(spark, path)
     return store.tables().get("logs").select(*_LOGS)
 
 

@@ -1,9 +1,10 @@
 """Ingest of block streams into a store: micro-batches, continuity, forks, finality, retention.
 
-``Ingest.step`` pulls from a block source on the driver; ``start`` runs the same rules on a Structured Streaming query
+``Ingest.step`` pulls from a block source; ``start`` runs the same rules on a Structured Streaming query
 whose batches are JSON lines. Either way a batch becomes chunks of at most ``max_rows`` rows (a single block may have more) and one commit, finality and retention
-included; all state is in the manifest, so a lost driver or a repeated batch changes nothing. Blocks never come to the driver: their links are checked where they
-are written, and what comes are the ends of each chunk.
+included; all state is in the manifest, so a lost driver or a repeated batch changes nothing. Blocks come to the driver only from a source that yields them one
+by one, and then ``max_rows`` rows at a time; those of a table or a stream stay distributed: their links are checked where they are written, and what comes are
+the ends of each chunk.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from blockloom.catalog import camel
 from blockloom.errors import StoreConflict
 from blockloom.plans.execute import RANGE
 from blockloom.session import drop, materialize
-from blockloom.sources.blocks import Block, Fork, Source
+from blockloom.sources.blocks import Block, Fork, Lines, Source
 from blockloom.sources.store import BlockRef, Manifest, Store, extend, replace_fork, rollback_point, settled
 
 MAX_ROWS = 200_000
@@ -55,8 +56,10 @@ class Ingest:
 
     def apply(self, blocks: Sequence[Block]) -> Manifest:
         """Commit blocks that the driver holds."""
-        lines = self.store.spark.createDataFrame([(json.dumps(b.body),) for b in blocks], "line string")
-        return self.apply_lines(lines)
+        return self.apply_lines(self._lines(blocks))
+
+    def _lines(self, blocks: Sequence[Block]) -> DataFrame:
+        return self.store.spark.createDataFrame([(json.dumps(b.body),) for b in blocks], "line string")
 
     def apply_lines(self, lines: DataFrame) -> Manifest:
         """Commit linked blocks after the head, or in place of what is there from their first block on. Blocks that are
@@ -65,9 +68,10 @@ class Ingest:
         of = lambda path: F.get_json_object("line", path)
         items = [self.store.catalog[t].item_name for t in self.schemas if t != header.name]
         rows = functools.reduce(operator.add, [F.coalesce(F.json_array_length(of(f"$.{i}")), F.lit(0)) for i in items], F.lit(1)).cast("long")
-        read = lines.select("line", of(f"$.header.{camel(header.block)}").cast("long").alias("n"), of("$.header.hash").alias("hash"), F.coalesce(of("$.header.parentHash"), F.lit("")).alias("parent"), F.coalesce(of("$.final") == "true", F.lit(False)).alias("final"), rows.alias("rows"))
-        # In the order of numbers, so that a chunk reads only its own part of the file.
-        staged, path = materialize(read.where("n is not null").dropDuplicates(["n", "hash"]).repartitionByRange("n").sortWithinPartitions("n"))
+        # In the order of numbers, so that a chunk reads only its own part of the file. Lines are shuffled once, and only their number is read before that.
+        placed = lines.select("line", of(f"$.header.{camel(header.block)}").cast("long").alias("n")).where("n is not null").repartitionByRange("n")
+        read = placed.select("line", "n", of("$.header.hash").alias("hash"), F.coalesce(of("$.header.parentHash"), F.lit("")).alias("parent"), F.coalesce(of("$.final") == "true", F.lit(False)).alias("final"), rows.alias("rows"))
+        staged, path = materialize(read.dropDuplicates(["n", "hash"]).sortWithinPartitions("n"))
         try:
             m = self.store.snapshot()
             head, found = m.head, self._ends(staged, m.head)
@@ -107,40 +111,36 @@ class Ingest:
     def step(self, source: Source) -> str:
         """One round: ``grown``, ``rolled back`` (asks again from the common block) or ``idle``."""
         m = self.store.snapshot()
-        head = m.head
+        got = self._pull(source, m.head)
+        if isinstance(got, Fork):
+            return self._roll_back(m, got, source)
+        if got is None:
+            return "idle"
+        self.apply_lines(got)
+        return "grown"
+
+    def _pull(self, source: Source, at: BlockRef | None) -> Fork | DataFrame | None:
+        """What a source has after a block: a fork, or lines (of ``max_rows`` rows, where it yields blocks one by one); None: nothing."""
         got: list[Block] = []
         rows = 0
-        for x in source(head.number + 1 if head else 0, head.hash if head else None):
+        for x in source(at.number + 1 if at else 0, at.hash if at else None):
             if isinstance(x, Fork):
-                return self._roll_back(m, x, source)
+                return x
+            if isinstance(x, Lines):
+                return x.table
             got.append(x)
             rows += x.rows()
             if rows >= self.max_rows:
                 break
-        if not got:
-            return "idle"
-        self.apply(got)
-        return "grown"
+        return self._lines(got) if got else None
 
     def _roll_back(self, m: Manifest, fork: Fork, source: Source) -> str:
         """Find the highest block in common, asking lower and lower, and replace what lies above it."""
         at = rollback_point(m, fork.previous)
-        while True:
-            got, again = [], None
-            rows = 0
-            for x in source(at.number + 1 if at else 0, at.hash if at else None):
-                if isinstance(x, Fork):
-                    again = x
-                    break
-                got.append(x)
-                rows += x.rows()
-                if rows >= self.max_rows:
-                    break
-            if again is None:
-                break
+        while isinstance(got := self._pull(source, at), Fork):
             below = Manifest(m.kind, m.version, tuple(c for c in m.chunks if at and c.last < at.number), m.finalized)
-            at = rollback_point(below, again.previous)
-        if not got:
+            at = rollback_point(below, got.previous)
+        if got is None:
             return "idle"
         m = self.store.snapshot()
         if at is None:
@@ -153,7 +153,7 @@ class Ingest:
                 raise StoreConflict(f"block {m.finalized.number} is final")
             if len(kept) < len(m.chunks):
                 self.store.commit(m, replace(m, chunks=kept))
-        self.apply(got)
+        self.apply_lines(got)
         return "rolled back"
 
     def handle(self, batch: DataFrame, _: int) -> None:

@@ -9,7 +9,7 @@ from blockloom.dialects import DIALECTS
 from blockloom.errors import ItemUnavailable, RangeUnavailable, StoreConflict, TableMissing, UnexpectedBaseBlock
 from blockloom.plans.request import parse
 from blockloom.sources import store as st
-from blockloom.sources.blocks import Block, BlockLines, Fork, arbitrate, from_lines, linked, mapped
+from blockloom.sources.blocks import Block, BlockLines, Fork, arbitrate, from_lines, from_table, linked, mapped
 from blockloom.sources.layout import Archive, Chunk
 from blockloom.streaming.ingest import Ingest
 
@@ -259,6 +259,38 @@ def test_sources():
     assert next(iter(renamed(0, None))).body["header"]["extra"] == 1
 
 
+def as_table(spark, blocks):
+    rows = [(b["header"]["number"], b["header"]["hash"], b["header"]["parentHash"], json.dumps(b)) for b in blocks]
+    return from_table(spark.createDataFrame(rows, "number long, hash string, parent_hash string, line string"))
+
+
+def test_a_table_answers_as_lines_do(spark):
+    chain = [block(n, parent="" if n == 0 else None) for n in range(4)] + [block(6, parent="a3")]
+    table, listed = as_table(spark, chain), from_lines(lines(chain))
+
+    def read(source, *ask):
+        found = list(source(*ask))
+        return found if not found or isinstance(found[0], Fork) else [json.loads(r["line"]) for x in found for r in x.table.orderBy("line").collect()] if source is table else [x.body for x in found]
+
+    for ask in [(0, None), (2, "a1"), (2, "zz"), (3, None), (5, "a3"), (5, "zz"), (7, "a6"), (7, "zz"), (9, "zz")]:
+        assert read(table, *ask) == read(listed, *ask)
+    for change in (linked(table), mapped(table, lambda b: b)):
+        with pytest.raises(TypeError):
+            list(change(0, None))
+
+
+def test_ingest_follows_a_table(spark, store):
+    ingest = Ingest(store, SCHEMAS, max_rows=12)
+    chain = [block(n, parent="" if n == 0 else None) for n in range(6)]
+    fork = [*chain[:3], block(3, "b", "a2"), block(4, "b"), block(5, "b")]
+    steps = []
+    for blocks in (chain, fork):
+        source = as_table(spark, blocks)
+        steps += [ingest.step(source), ingest.step(source)]
+        assert numbers(store) == [b["header"]["hash"] for b in blocks]
+    assert steps == ["grown", "idle", "rolled back", "idle"] and len(store.snapshot().chunks) > 2
+
+
 def test_rollback_points():
     chunk = lambda a, b: st.StoredChunk(a, b, f"h{b}", f"h{a - 1}", {}, 1)
     m = st.Manifest("k", 0, (chunk(0, 4), chunk(5, 9), chunk(10, 14)))

@@ -70,3 +70,22 @@ def test_flagship_and_companions_have_the_standard_budget(spark):
     assert numbers(blockqueries.header_boundaries(spark, root)) == picked
     assert numbers(blockqueries.include_all_blocks(spark, root)) == numbers(e.table("blocks"))
     assert 0 < blockqueries.budget_cut(spark, root).count() < e.selected("logs").count()
+
+
+def test_rolled_back_ingest_leaves_blocks_off_the_driver(spark, root, monkeypatch):
+    """What comes to the driver are refs and ends of chunks, never the lines of blocks."""
+    seen, kind = [], type(spark.range(1))
+    for name in ("collect", "toLocalIterator"):
+
+        def watched(self, *args, plain=getattr(kind, name), **kw):
+            rows = list(plain(self, *args, **kw))
+            seen.extend(rows)
+            return rows
+
+        monkeypatch.setattr(kind, name, watched)
+    found = storequeries.rolled_back_ingest(spark, root)
+    monkeypatch.undo()
+    logs, lo, mid, hi = storequeries._logs(spark, root)
+    wanted = logs.where((F.col("block_number") < mid) | F.col("topic0").isNotNull())
+    assert sorted(map(str, found.collect())) == sorted(map(str, wanted.collect()))
+    assert seen and not [r for r in seen if "logIndex" in str(r)]
